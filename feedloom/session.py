@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PACKAGE = Path(__file__).resolve().parent
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the tasks this package, once a session, where neither PYTHONPATH nor the working folder has it."""
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and Path(p).resolve() == _PACKAGE.parent for p in places) or spark.conf.get("feedloom.shipped", "") == spark.sparkContext.applicationId:
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-feedloom-')}/{_PACKAGE.name}", "zip", _PACKAGE.parent, _PACKAGE.name)
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("feedloom.shipped", spark.sparkContext.applicationId)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``; a missing folder is Spark's own error."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
