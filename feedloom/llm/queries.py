@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import language, truncation
+from feedloom.llm import contamination, language, truncation
 from feedloom.session import read_table
 
 _DESCRIPTIONS = (("issue_list", "problem_description"), ("feature_requests", "description"))
@@ -41,5 +41,25 @@ def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _identified(spark, sf_dir)
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_languages": p4_languages}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and the documents that hold their passage."""
+    return _leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that leaked, with the number of documents."""
+    return contamination.leaked_items(_leaks(spark, sf_dir))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and sources of the documents without test passages."""
+    documents = read_table(spark, sf_dir, "documents")
+    return contamination.without_leaks(documents.select("doc_id", "source"), _leaks(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean}
 ORACLE: dict[str, str] = {}

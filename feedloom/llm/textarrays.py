@@ -30,14 +30,14 @@ def _lower_table() -> np.ndarray:
 
 @cache
 def _class_table() -> np.ndarray:
-    """1 letter or mark, 2 digit, 4 white space, 8 letter of a script without blanks (Han, Kana)."""
+    """1 letter or mark, 2 digit, 4 white space, 8 letter of a script without blanks (Han, Kana), 16 invisible."""
     import unicodedata
 
     t = np.zeros(_BMP, np.uint8)
     for i in range(_BMP):
         c = chr(i)
         k = unicodedata.category(c)[0]
-        t[i] = 1 if k in "LM" else 2 if k == "N" else 4 if c.isspace() else 0
+        t[i] = 1 if k in "LM" else 2 if k == "N" else 4 if c.isspace() else 16 if unicodedata.category(c) in ("Cf", "Cc") else 0
     for lo, hi in ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D)):
         t[lo : hi + 1] |= (t[lo : hi + 1] & 1) << 3
     return t
