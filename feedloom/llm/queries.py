@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import contamination, language, truncation
+from feedloom.llm import abuse, contamination, language, mixing, truncation
 from feedloom.session import read_table
 
 _DESCRIPTIONS = (("issue_list", "problem_description"), ("feature_requests", "description"))
@@ -61,5 +61,51 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.without_leaks(documents.select("doc_id", "source"), _leaks(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_languages": p4_languages, "p6_found": p6_found, "p6_items": p6_items, "p6_clean": p6_clean}
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every listed source."""
+    return _mixture(spark, sf_dir)[1]
+
+
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "review_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexual sentence."""
+    return _abuse(spark, sf_dir).where("flagged").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity and worst sentence."""
+    return _abuse(spark, sf_dir)
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of flagged documents by source."""
+    return abuse.rates(_abuse(spark, sf_dir))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_rates": p1_rates,
+    "p4_found": p4_found,
+    "p4_languages": p4_languages,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p6_clean": p6_clean,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
+}
 ORACLE: dict[str, str] = {}
