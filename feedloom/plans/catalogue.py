@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.plans import problems
+from feedloom.plans import forum, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**forum.QUERIES, **problems.QUERIES}
+ORACLE = {**forum.ORACLE, **problems.ORACLE}
