@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -107,6 +109,12 @@ def _files(df: DataFrame, path: str) -> DataFrame:
     return files.repartition(F.col("path"))
 
 
+def _complete(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
+    """The columns that count, without rows that have a null in one; NaN stays."""
+    part = df.select(*keys, score, tie)
+    return part.where(reduce(and_, [F.col(c).isNotNull() for c in part.columns]))
+
+
 def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int = 3, row_group_bytes: int = 256 << 10, partitions: int | None = None) -> DataFrame:
     """The ``n`` rows of highest ``score`` of every group, ties by ascending ``tie``; ``place`` counts from 1.
 
@@ -116,7 +124,7 @@ def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int = 3, row_
     """
     if n < 1:
         raise ValueError("n must be 1 at least")
-    part = df.select(*keys, score, tie).dropna()
+    part = _complete(df, keys, score, tie)
     dtype = {f.name: f.dataType for f in part.schema.fields}
     part = part.withColumn(score, F.col(score).cast("double"))
     path = clustered(part, keys, score, tie, row_group_bytes, partitions)
@@ -128,6 +136,6 @@ def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int = 3, row_
 
 def skipping_report(df: DataFrame, keys: list[str], score: str, tie: str, n: int = 3, row_group_bytes: int = 256 << 10) -> DataFrame:
     """(path, row_groups, opened) of each clustered file: how much the statistics let the reader skip."""
-    part = df.select(*keys, score, tie).dropna().withColumn(score, F.col(score).cast("double"))
+    part = _complete(df, keys, score, tie).withColumn(score, F.col(score).cast("double"))
     path = clustered(part, keys, score, tie, row_group_bytes)
     return _files(df, path).mapInArrow(_reader(keys, score, n, tally=True), "path string, row_groups bigint, opened bigint")
