@@ -45,22 +45,31 @@ def _class_table() -> np.ndarray:
 
 def lowered(points: np.ndarray) -> np.ndarray:
     """Code points in lower case, one for one; where lower case is longer the letter stays."""
+    if not len(points) or points.max() < _BMP:
+        return _lower_table()[points]
     return np.where(points < _BMP, _lower_table()[np.minimum(points, _BMP - 1)], points).astype(np.uint32)
 
 
 def classes(points: np.ndarray) -> np.ndarray:
     """Class bits of each code point; ideographs beyond the basic plane are letters without blanks."""
+    if not len(points) or points.max() < _BMP:
+        return _class_table()[points]
     beyond = points >= _BMP
     out = _class_table()[np.where(beyond, 0, points)]
-    if beyond.any():
-        out = out.copy()
-        out[beyond] = np.where((points[beyond] >= 0x20000) & (points[beyond] < 0x32000), 9, 0)
+    out[beyond] = np.where((points[beyond] >= 0x20000) & (points[beyond] < 0x32000), 9, 0)
     return out
 
 
+@cache
+def _members(chars: str) -> np.ndarray:
+    t = np.zeros(_BMP, bool)
+    t[[ord(c) for c in chars]] = True
+    return t
+
+
 def is_in(points: np.ndarray, chars: str) -> np.ndarray:
-    """True where a code point is one of ``chars``."""
-    return np.isin(points, np.array([ord(c) for c in chars], np.uint32))
+    """True where a code point is one of ``chars``, all of the basic plane and none its last."""
+    return _members(chars)[np.minimum(points, _BMP - 1)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,14 +82,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _P = 0x9E3779B97F4A7C15 | 1
 
 
-def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+@cache
+def _mixed_points() -> np.ndarray:
+    return mixed(np.arange(_BMP, dtype=np.uint64) + np.uint64(0x51ED27))
+
+
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the hash's base and of its inverse, kept for the next call."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))]) for base in (_P, pow(_P, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def prefix_sums(points: np.ndarray) -> np.ndarray:
+    """What ``span_hashes`` needs to know of the code points, to be made once for several calls."""
+    if not len(points) or points.max() < _BMP:
+        values = _mixed_points()[points]
+    else:
+        values = mixed(points.astype(np.uint64) + np.uint64(0x51ED27))
+    powers, _ = _power_tables(len(points) + 1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[: len(points)], dtype=np.uint64)])
+
+
+def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each span of code points, equal for equal spans wherever they are."""
-    values = mixed(points.astype(np.uint64) + np.uint64(0x51ED27))
-    n = len(points)
-    powers = np.ones(n + 1, np.uint64)
-    inverses = np.ones(n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        powers[1:] = np.cumprod(np.full(n, _P, np.uint64))
-        inverses[1:] = np.cumprod(np.full(n, pow(_P, -1, 1 << 64), np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[:n], dtype=np.uint64)])
-        return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    sums = prefix_sums(points) if sums is None else sums
+    _, inverses = _power_tables(len(points) + 1)
+    return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))

@@ -19,29 +19,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedloom.llm.textarrays import classes, code_points, is_in, lowered, mixed, span_hashes
+from feedloom.llm.textarrays import classes, code_points, is_in, lowered, mixed, prefix_sums, span_hashes
 from feedloom.session import written
 
 #: What feeds put after a break, at the end of a text, and the line after which mail adds its own.
 MARKER = r"\s*(\[\s*(?:…|\.\.\.)\s*\]|…|\.\.\.)\s*$"
 TRAILER = r"\n--[ \t]*\n[^\n]*\s*$"
 CLOSING = ".!?。！？…"
+#: Code points at the end of a text in which a trailer and a marker are looked for.
+_TRAILER_END, _MARKER_END = 200, 24
 CLOSERS = "\"')]}»”’」』）"
 
 WIDTHS = (1, 4, 16)
+#: Rows whose arrays are made at once: small enough to stay in a core's cache.
+_ROWS = 500
 _NEIGHBOURS = 12
 _BLOOM_BITS = (1 << 22, 1 << 27)
 
 
 def prepared(df: DataFrame, table_name: str, record_id: str, text: str, source: str) -> DataFrame:
     """(table_name, record_id, source, text, body, marker): the text without a mail trailer, and also without a marker. Null texts and texts of white space go."""
-    whole = F.regexp_replace(F.col(text), TRAILER, "")
-    return (
-        df.select(F.lit(table_name).alias("table_name"), F.col(record_id).alias("record_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), whole.alias("text"))
-        .withColumn("marker", F.regexp_extract("text", MARKER, 1))
-        .withColumn("body", F.when(F.col("marker") == "", F.rtrim("text")).otherwise(F.regexp_replace("text", MARKER, "")))
-        .where(F.length(F.trim("body")) > 0)
-    )
+    # patterns of an end need not run over the whole text
+    without = lambda c, pattern, end: F.expr(f"left({c}, length({c}) - length(regexp_extract(right({c}, {end}), r'{pattern}', 0)))")
+    rows = df.select(F.lit(table_name).alias("table_name"), F.col(record_id).alias("record_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
+    rows = rows.withColumn("text", F.when(F.contains("text", F.lit("\n--")), without("text", TRAILER, _TRAILER_END)).otherwise(F.col("text")))
+    rows = rows.withColumn("marker", F.regexp_extract(F.expr(f"right(text, {_MARKER_END})"), MARKER, 1))
+    body = F.when(F.col("marker") == "", F.col("text")).otherwise(without("text", MARKER, _MARKER_END))
+    return rows.withColumn("body", F.rtrim(body)).where(F.length("body") > 0)
 
 
 # --- hazards -----------------------------------------------------------------------------------------------------
@@ -113,6 +117,7 @@ class _Words:
         if n:
             first[1:] &= ~word[:-1] | lone[1:] | lone[:-1] | (row[1:] != row[:-1])
         self.starts = np.flatnonzero(first)
+        self.word_at = np.cumsum(first) - 1
         last = word.copy()
         if n:
             last[:-1] &= ~word[1:] | first[1:]
@@ -124,36 +129,44 @@ class _Words:
         self.final = np.append(self.row[1:] != self.row[:-1], True) if len(self.row) else np.zeros(0, bool)
         upto = np.where(self.final, offsets[self.row + 1], upto) if len(self.row) else upto
         self.ended = mark[upto] > mark[self.ends] if len(self.row) else np.zeros(0, bool)
-        own = span_hashes(points, self.starts, self.ends)
-        back = lambda k: np.where(np.concatenate([np.full(k, -1), self.row[:-k]]) == self.row, np.concatenate([np.zeros(k, np.uint64), own[:-k]]), np.uint64(k)) if len(own) > k else np.full(len(own), k, np.uint64)
-        one, two = back(1), back(2)
-        with np.errstate(over="ignore"):
-            self.pair = mixed(own * np.uint64(3) + mixed(one))
-            self.triple = mixed(self.pair * np.uint64(5) + mixed(two + np.uint64(11)))
-            self.own, self.previous, self.second = own, one, two
-
-    def prefixes(self) -> list[np.ndarray]:
-        """For every proper beginning of every word its hash with the word before, and with two: the ``begun`` of an unfinished word."""
+        # the hash of each word, of the word before and of that before it
+        self.sums = prefix_sums(points)
+        self.own = span_hashes(points, self.starts, self.ends, self.sums)
+        self.before = [mixed(self._back(k) + np.uint64(k)) for k in (1, 2)]
+
+    def _back(self, k: int) -> np.ndarray:
+        out = np.full(len(self.own), k, np.uint64)
+        if len(self.own) > k:
+            out[k:] = np.where(self.row[k:] == self.row[:-k], self.own[:-k], np.uint64(k))
+        return out
+
+    def pair(self, at: np.ndarray) -> np.ndarray:
+        """Hash of the words ``at`` with the word before each."""
+        return mixed(self.own[at] * np.uint64(3) + self.before[0][at])
+
+    def triple(self, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Hash of the words ``at`` with the two words before each."""
+        return mixed(pair * np.uint64(5) + self.before[1][at])
+
+    def begun(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of a beginning ``h`` of the words ``at``, with the word before and with the two before."""
+        two = mixed(h * np.uint64(7) + self.before[0][at])
+        return two, mixed(two * np.uint64(13) + self.before[1][at])
+
+    def beginnings(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, word) of every proper beginning of every word."""
         inside = np.flatnonzero(self.word_chars)
-        at = np.searchsorted(self.starts, inside, side="right") - 1
+        at = self.word_at[inside]
         proper = inside + 1 < self.ends[at]
         inside, at = inside[proper], at[proper]
-        return self._with_previous(span_hashes(self.points, self.starts[at], inside + 1), at)
-
-    def begun(self) -> list[np.ndarray]:
-        return self._with_previous(self.own, np.arange(len(self.own)))
-
-    def _with_previous(self, h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        with np.errstate(over="ignore"):
-            two = mixed(h * np.uint64(7) + mixed(self.previous[at]))
-            return [two, mixed(two * np.uint64(13) + mixed(self.second[at] + np.uint64(17)))]
+        return span_hashes(self.points, self.starts[at], inside + 1, self.sums), at
 
 
 _ENDING = "table_name string, record_id bigint, source string, chars bigint, bytes bigint, body_chars bigint, marker string, closed boolean, dangling boolean, single bigint, pair bigint, triple bigint, begun_pair bigint, begun_triple bigint"
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (whole.slice(at, 2 * _ROWS) for whole in batches for at in range(0, whole.num_rows, 2 * _ROWS)):
         tails = b.column("tail")
         points, offsets = code_points(tails)
         w = _Words(tails)
@@ -161,8 +174,9 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finals = np.flatnonzero(w.final)
         hashes = np.zeros((5, n), np.uint64)
         rows = w.row[finals]
-        for i, h in enumerate((w.own, w.pair, w.triple, *w.begun())):
-            hashes[i, rows] = h[finals]
+        pair = w.pair(finals)
+        for i, h in enumerate((w.own[finals], pair, w.triple(finals, pair), *w.begun(w.own[finals], finals))):
+            hashes[i, rows] = h
         # what follows the last word: a mark that closes, one that leaves open, or nothing
         closed, dangling = np.zeros(n, bool), np.zeros(n, bool)
         kinds = classes(points)
@@ -175,7 +189,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = np.arange(len(points))
         row_of = np.repeat(np.arange(n), np.diff(offsets))
         last_word = np.full(n, -1)
-        np.maximum.at(last_word, row_of[wordlike], index[wordlike])
+        last_word[row_of[wordlike]] = index[wordlike]  # of several the last stays
         behind = index > last_word[row_of]
         closed[row_of[behind & (shut | other)]] = True
         dangling[row_of[behind & open_]] = True
@@ -189,7 +203,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(keep | {"closed": closed, "dangling": dangling} | {c: hashes[i].view(np.int64) for i, c in enumerate(("single", "pair", "triple", "begun_pair", "begun_triple"))})
 
 
-def endings(texts: DataFrame, tail: int = 400) -> DataFrame:
+def endings(texts: DataFrame, tail: int = 200) -> DataFrame:
     """One row per text with its lengths and the hashes of its last words; a context needs no more than ``tail`` characters before the end."""
     part = texts.select(
         "table_name", "record_id", "source", F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"), F.length("body").cast("bigint").alias("body_chars"), "marker",
@@ -217,18 +231,24 @@ def _counter(bloom: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                w = _Words(whole.column("body").slice(at, 4000))
-                known = ~w.final | w.ended
-                kind = np.where(w.final & ~w.ended, 2, np.where(w.ended, 0, 1))
-                hashes, kinds = [], []
-                for h in (w.own, w.pair, w.triple):
-                    hit = wanted(h) & (known | w.final)
-                    hashes.append(h[hit])
-                    kinds.append(kind[hit])
-                for begun in w.prefixes():
-                    hashes.append(begun[wanted(begun)])
-                    kinds.append(np.ones(len(hashes[-1]), np.int64))
+            for at in range(0, whole.num_rows, _ROWS):
+                w = _Words(whole.column("body").slice(at, _ROWS))
+                kind = np.where(w.ended, 0, np.where(w.final, 2, 1))
+                # a longer context is only asked for if its shorter ones are
+                one = np.flatnonzero(wanted(w.own))
+                two = w.pair(one)
+                hit = wanted(two)
+                three = w.triple(one[hit], two[hit])
+                hit3 = wanted(three)
+                start, word = w.beginnings()
+                begun = wanted(start)
+                start, word = start[begun], word[begun]
+                begun2, begun3 = w.begun(start, word)
+                begun3 = begun3[wanted(begun2)]
+                begun2 = begun2[wanted(begun2)]
+                begun3 = begun3[wanted(begun3)]
+                hashes = [w.own[one], two[hit], three[hit3], begun2, begun3]
+                kinds = [kind[one], kind[one[hit]], kind[one[hit][hit3]], np.ones(len(begun2), np.int64), np.ones(len(begun3), np.int64)]
                 key, kind = np.concatenate(hashes), np.concatenate(kinds)
                 distinct, inverse = np.unique(key, return_inverse=True)
                 out = [np.bincount(inverse[kind == j], minlength=len(distinct)) for j in range(3)]
