@@ -130,7 +130,7 @@ def fit(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUA
     starts, rows = segments(points, offsets)
     y = np.array([x for _, x in known], np.int64)[rows] if known else np.zeros(0, np.int64)
     letters = np.add.reduceat((classes(points) & 1).astype(np.int64), starts) if len(starts) else y
-    wordless = np.add.reduceat((classes(points) & 8) > 0, starts) * 2 > letters if len(starts) else letters > 0
+    wordless = np.add.reduceat((classes(points) & 8 > 0).astype(np.int64), starts) * 2 > letters if len(starts) else letters > 0
     order = np.random.default_rng(7).permutation(len(starts))
     order = order[letters[order] >= np.where(wordless[order], 6, 15)]
     # a phrase that many texts repeat counts once, with the label most of them have
@@ -151,7 +151,7 @@ def fit(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUA
     sure = ~np.array([x for x, _ in chosen], bool)
     order = np.array([i for _, i in chosen], np.int64)
     ends = limits[order + 1]
-    parts = [points[a:b] for a, b in zip(starts[order], ends, strict=True)]
+    parts = [np.append(points[a:b], np.uint32(10)) for a, b in zip(starts[order], ends, strict=True)]
     y = y[order]
     starts = np.cumsum([0, *map(len, parts)])[:-1].astype(np.int64)
     points = np.concatenate(parts) if parts else points[:0]
@@ -208,7 +208,7 @@ def classify_batch(model: KernelModel, text: pa.Array, sure: float = 0.8, least_
     k = len(model.languages)
     best = scores.argmax(1) if len(starts) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(points)))
-    wordless = np.add.reduceat((classes(points) & 8) > 0, starts) * 2 > letters if len(starts) else np.zeros(0, bool)
+    wordless = np.add.reduceat((classes(points) & 8 > 0).astype(np.int64), starts) * 2 > letters if len(starts) else np.zeros(0, bool)
     enough = letters >= np.where(wordless, least_wordless, least_letters)
     has = np.bincount(rows[letters > 0], minlength=n) > 0
     # short sentences only count where a record has no longer one

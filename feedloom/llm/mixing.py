@@ -50,7 +50,7 @@ def token_counts(documents: DataFrame, text: str = "text", keep: dict[str, Colum
     part = documents.select(*[c.alias(name) for name, c in (keep or {}).items()], F.col(text).alias("_text"))
     names = [c for c in part.columns if c != "_text"]
     kinds = dict(part.dtypes)
-    return part.mapInArrow(_token_counter(vocabulary, names), ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", tokens bigint")
+    return part.mapInArrow(_token_counter(vocabulary, names), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "tokens bigint"]))
 
 
 def quality(text: str = "text") -> Column:
