@@ -2,8 +2,8 @@
 
 Every document gets an exponential key divided by its quality weight; within a source, the documents of smallest key are a
 weighted sample without replacement. A source that must be repeated first gives whole epochs, each document once; the rest of its
-budget is filled in the order of the keys up to the document that no longer fits. Running sums go over key buckets first and then within
-them, so that no task sees a whole source.
+budget is filled in the order of the keys up to the document that no longer fits. The running sums go over range partitions of all sources
+and keys, so that no task sees a whole source.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from feedloom.operators.ranking import running_total
 from feedloom.session import written
 
 #: Fixed value: the pattern that splits text before byte pairs are merged, as the vocabulary's publisher states it.
@@ -61,7 +61,8 @@ def quality(text: str = "text") -> Column:
 
 
 def sampling_key(weight: Column, seed: int, *ids: Column) -> Column:
-    """From 0 to 1, rising with -ln(u) / weight for a u from 0 to 1 that is fixed by ``ids`` and ``seed``."""
+    """From 0 to 1, rising with -ln(u) / weight for a u from 0 to 1 that is fixed by ``ids`` and ``seed``. Null, zero and negative weights come last."""
+    weight = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *ids), 11).cast("double") + 0.5) / float(1 << 53)
     return 1 - F.exp(F.log(u) / weight)
 
@@ -89,7 +90,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return b.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: int | None = None, weight: Column | None = None, seed: int = 11, vocabulary: str = VOCABULARY, per_bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: int | None = None, weight: Column | None = None, seed: int = 11, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(chosen, report).
 
     ``chosen``: doc_id, source, tokens, times for every document that is used, ``times`` never above its source's max_repeats. ``report``: source, share,
@@ -102,27 +103,19 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     w = weight if weight is not None else quality(text)
     keep = {"doc_id": F.col(doc_id), "source": F.col(source), "key": sampling_key(w, seed, F.col(doc_id), F.col(text))}
     sized = written(token_counts(documents.where(F.col(source).isNotNull()), text, keep, vocabulary).where(F.col("tokens") > 0), "tokens")
-    totals = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("n"))
-    plan = written(budgets(totals.select("source", "available"), targets, total_tokens), "budgets")
-    most = totals.agg(F.max("n")).first()[0] or 0
-    buckets = max(16, -(-most // per_bucket))
+    totals = sized.groupBy("source").agg(F.sum("tokens").alias("available"))
+    plan = written(budgets(totals, targets, total_tokens), "budgets")
     wanted = plan.where(F.col("budget") > 0).select("source", "epochs", "rest")
-    if plan.count() <= MAX_BROADCAST_SOURCES:
-        wanted = F.broadcast(wanted)
-    mine = sized.join(wanted, "source")
-    mine = mine.withColumn("bucket", F.least(F.floor(F.col("key") * buckets).cast("int"), F.lit(buckets - 1)))
-    by_bucket = mine.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
-    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_bucket.withColumn("before", F.coalesce(F.sum("in_bucket").over(order), F.lit(0))).select("source", "bucket", "before", "in_bucket")
-    placed = mine.join(before, ["source", "bucket"])
-    # only the bucket in which a source's rest runs out needs its documents one by one
-    whole = placed.where(F.col("before") + F.col("in_bucket") <= F.col("rest")).withColumn("more", F.lit(1))
-    none = placed.where(F.col("before") >= F.col("rest")).withColumn("more", F.lit(0))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    split = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest")))
-    split = split.withColumn("more", F.when(F.col("before") + F.sum("tokens").over(within) <= F.col("rest"), 1).otherwise(0))
-    all_ = whole.unionByName(none).unionByName(split)
-    chosen = all_.withColumn("times", (F.col("epochs") + F.col("more")).cast("bigint")).where(F.col("times") > 0).select("doc_id", "source", "tokens", "times")
+    small = plan.count() <= MAX_BROADCAST_SOURCES
+    mine = sized.join(F.broadcast(wanted) if small else wanted, "source")
+    # one running total over all sources, less what the sources before have
+    ends = running_total(totals.join(wanted.select("source"), "source"), [F.col("source")], F.col("available"), "end_")
+    starts = ends.select("source", (F.col("end_") - F.col("available")).alias("start_"))
+    if small:
+        starts = F.broadcast(starts)
+    placed = running_total(mine, [F.col(c) for c in ("source", "key", "doc_id", "tokens")], F.col("tokens"), "upto").join(starts, "source")
+    more = (F.col("upto") - F.col("start_") <= F.col("rest")).cast("bigint")
+    chosen = placed.withColumn("times", F.col("epochs") + more).where(F.col("times") > 0).select("doc_id", "source", "tokens", "times")
     chosen = written(chosen, "mixture")
     return chosen, reached(chosen, plan)
 

@@ -28,7 +28,7 @@ def run(spark, rows, wanted, **how):
 
 def test_shares_caps_and_epochs(spark):
     rows = docs()
-    chosen, report = run(spark, rows, WANTED, per_bucket=7)
+    chosen, report = run(spark, rows, WANTED)
     repeats = {s: m for s, _, m in WANTED}
     assert chosen and all(1 <= r.times <= repeats[r.source] for r in chosen)
     assert report["absent"].tokens == 0 and report["never"].tokens == 0 and report["odd"].share == 0
@@ -43,7 +43,7 @@ def test_shares_caps_and_epochs(spark):
 
 def test_against_a_plain_prefix_sum(spark):
     rows = docs(2)
-    chosen, report = run(spark, rows, WANTED, total_tokens=4000, per_bucket=5)
+    chosen, report = run(spark, rows, WANTED, total_tokens=4000)
     df = spark.createDataFrame(rows, DOCS)
     keyed = M.token_counts(df, keep={"doc_id": F.col("doc_id"), "source": F.col("source"), "key": M.sampling_key(M.quality("text"), 11, F.col("doc_id"), F.col("text"))})
     want = defaultdict(int)
