@@ -51,16 +51,16 @@ def item_counts(baskets: DataFrame, items: str) -> DataFrame:
     return baskets.select(F.explode(F.array_distinct(F.array_compact(F.col(items)))).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
-def associations(baskets: DataFrame, items: str, min_records: int = 1, chunk: int = 64) -> DataFrame:
+def associations(baskets: DataFrame, items: str, min_records: int = 1, chunk: int = 64, total: int | None = None) -> DataFrame:
     """Pairs held together by ``min_records`` rows or more, with their association scores.
 
     Columns: item_a, item_b, together, n_a, n_b, total, lift (together against the number chance would
-    give), pmi (its natural logarithm) and excess (together minus that number). ``total`` counts all rows,
-    those without items too. No item is in such a pair unless it is itself in ``min_records`` rows, so rarer
+    give), pmi (its natural logarithm) and excess (together minus that number). ``total`` is the number of all rows,
+    those without items too, counted here unless given. No item is in such a pair unless it is itself in ``min_records`` rows, so rarer
     items are left out before pairs are made; that changes no result. Ties, repeated rows and empty tables
     need no rule: every pair has one row, and no rows give none.
     """
-    total = baskets.count()
+    total = baskets.count() if total is None else total
     counts = item_counts(baskets, items)
     kept = baskets.select(items)
     if min_records > 1:

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.plans import report, topics
+from feedloom.plans import export, report, topics
 from feedloom.sinks import files
 from feedloom.sources import forum as source
 from feedloom.streaming import feed
@@ -86,6 +86,17 @@ def test_sinks(frames, tmp_path, spark):
     assert files.write_workbook({"a": frames[2]}, str(tmp_path / "w.xlsx")) in (True, False)
 
 
+def test_export(spark, tmp_path):
+    category = spark.createDataFrame([(87, "Main")], "category_id int, category_name string")
+    official = spark.createDataFrame([(11,)], "topic_id bigint")
+    summary = spark.createDataFrame([(10, "text")], "topic_id bigint, summary string")
+    wrote = dict(export.export(source.from_rows(spark, ROWS), category, official, summary, str(tmp_path), "-", "test"))
+    assert {"analysis_report.md", "all_topics.json", "issue_list.json", "feature_requests.json", "unified_feedback.json"} <= set(wrote)
+    rows = json.loads((tmp_path / "data" / "all_topics.json").read_text(encoding="utf-8"))
+    assert [r["topic_id"] for r in rows] == [10, 11, 12, 13, 14] and len(rows[0]) == 24
+    assert len(json.loads((tmp_path / "data" / "unified_feedback.json").read_text(encoding="utf-8"))[0]) == 22
+
+
 def test_pages(spark, tmp_path):
     page = {"topic_list": {"topics": [{"id": 5, "slug": "s", "title": "T", "category_id": 1, "created_at": "2025-03-04T01:02:03Z", "views": 1, "posts_count": 3, "like_count": 2, "tags": ["x"]}, {"id": 6, "slug": "u", "title": "U"}]}}
     (tmp_path / "page.json").write_text(json.dumps(page))
