@@ -10,7 +10,7 @@ from feedloom.functions import rules as R
 from feedloom.operators import ranking
 from feedloom.operators import relational as rel
 from feedloom.plans import report, topics
-from feedloom.session import read_table
+from feedloom.session import read_table, written
 
 RULES = R.FORUM_RULES
 
@@ -185,7 +185,9 @@ def full_index(s: SparkSession, d: str) -> DataFrame:
 
 def report_lines(s: SparkSession, d: str) -> DataFrame:
     """The Markdown report, a row per line."""
-    return report.report_lines(_topics(s, d), _issues(s, d), _features(s, d), "-", "raw_topic")
+    t, summary = written(_topics(s, d), "topics"), _summaries(s, d)
+    issue_rows_, feature_rows = written(topics.issues(t, summary), "issues"), written(topics.features(t, summary), "features")
+    return report.report_lines(t, issue_rows_, feature_rows, "-", "raw_topic")
 
 
 QUERIES = {f.__name__: f for f in (
