@@ -42,13 +42,13 @@ def segments(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _without_links(points: np.ndarray, letter: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Letters, but those of tokens that hold ``@``, ``://`` or a dot between letters, as addresses do."""
+def _without_links(points: np.ndarray, letter: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Letters, but those of tokens that hold ``@``, ``://`` or a dot between letters, as addresses do; a token starts at each ``border``."""
     mark = points == 64
     mark[1:-1] |= ((points[:-2] == 58) & (points[1:-1] == 47) & (points[2:] == 47)) | ((points[1:-1] == 46) & letter[:-2] & letter[2:])
     if not mark.any():
         return letter
-    token = np.cumsum(space)
+    token = np.cumsum(border)
     bad = np.zeros(token[-1] + 1, bool)
     bad[token[mark]] = True
     return letter & ~bad[token]
@@ -57,7 +57,7 @@ def _without_links(points: np.ndarray, letter: np.ndarray, space: np.ndarray) ->
 def gram_presences(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, n-gram) of each n-gram present in a segment, sorted; letters per segment. n-grams lie within words, with word ends marked."""
     kinds = classes(points)
-    letter = _without_links(points, (kinds & 1) > 0, (kinds & 4) > 0)
+    letter = _without_links(points, (kinds & 1) > 0, (kinds & 12) > 0)
     segment_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(points))))
     letters = np.bincount(segment_of[letter], minlength=len(starts))
     before = np.append(False, letter[:-1])
