@@ -69,14 +69,36 @@ def test_a_very_long_text():
     assert found["main_lang"] == ["de", None, "zh"] and found["other_lang"][0] == "fr"
 
 
-def test_scores_equal_the_kernel_expansion():
-    """The collapsed weights give what kernel values against all training sentences would, for a plain kernel ridge fit."""
-    a = np.concatenate([L.code_points(pa.array(["abc abd\n"]))[0]])
-    seg, gram, letters = L.gram_presences(a, np.array([0]))
-    # a, b, c, d; the pairs _a, ab, bc, bd; the triples _ab, abc, bc_, abd, bd_
+def test_gram_presences():
+    points, _ = L.code_points(pa.array(["abc abd\n"]))
+    seg, gram, letters = L.gram_presences(points, np.array([0]))
+    # a, b, c, d; the pairs _a, ab, bc, bd; the triples _ab, abc, bc_, abd, bd_, each once
     assert len(gram) == 4 + 4 + 5 and letters[0] == 6 and set(seg) == {0}
 
 
+def test_a_score_is_the_sum_of_the_weights_of_its_grams():
+    rnd = random.Random(4)
+    texts = [sentence(x, rnd) for x in WORDS for _ in range(40)]
+    model = L.fit(texts, [x for x in WORDS for _ in range(40)])
+    points, offsets = L.code_points(pa.array([t + "\n" for t in texts[::20]]))
+    starts, _ = L.segments(points, offsets)
+    seg, gram, _ = L.gram_presences(points, starts)
+    scores, _ = model.score(points, starts)
+    for i in range(len(starts)):
+        mine = gram[seg == i]
+        rows = model.row[mine]
+        want = model.weights[rows[rows >= 0]].sum(0) / np.sqrt(max(1, len(mine)))
+        assert np.allclose(scores[i], want, atol=1e-4)
+
+
+def test_sentences():
+    points, offsets = L.code_points(pa.array(["One. Two (three.) Four 1.0.0 five!\n中文。日本「語。」", "x"]))
+    starts, rows = L.segments(points, offsets)
+    text = "".join(map(chr, points))
+    parts = [text[a:b].strip() for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+    assert [p for p in parts if p] == ["One.", "Two (three.)", "Four 1.0.0 five!", "中文。", "日本「語。」", "x"] and rows[-1] == 1
+
+
 def test_label_language(spark):
     df = spark.createDataFrame([("EN-us",), ("pt_BR",), (" de ",), ("und",), ("",), (None,), ("UND-x",)], "l string")
     assert [r.x for r in df.select(L.label_language("l").alias("x")).collect()] == ["en", "pt", "de", None, None, None, None]

@@ -74,6 +74,13 @@ def test_weights_steer_the_choice(spark):
     assert len(odd) > 300 and sum(odd) / len(odd) > 0.8
 
 
+def test_useless_weights_come_last(spark):
+    rows = [(i, "same words in all of them", "s", "", i) for i in range(60)]
+    weight = F.when(F.col("key") < 20, 1.0).when(F.col("key") < 40, 0.0)
+    chosen, report = M.mix(spark.createDataFrame(rows, DOCS), spark.createDataFrame([("s", 1.0, 1)], TARGETS), total_tokens=100, weight=weight)
+    assert {r.doc_id for r in chosen.collect()} <= set(range(20)) and report.first().tokens == 96  # 6 tokens a document
+
+
 def test_empty(spark):
     assert run(spark, [], WANTED)[0] == []
     chosen, report = run(spark, docs(n=20), [])
