@@ -9,7 +9,7 @@ Fitting alternates between choosing the worst sentence of each flagged document
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.language import segments
 from feedloom.llm.textarrays import classes, code_points, is_in, lowered, mixed, span_hashes
+from feedloom.session import written
 
 _BITS = 20
 #: Signs that stand for letters in disguised words.
@@ -49,6 +50,8 @@ GROUPS = {
     "person": "you your yourself u du dich dir dein deine euch ihr tu te toi ton ta vous tú ti vos usted você voce jij je jou jouw 你 你们",
 }
 _COPIES = 3
+#: Bins of severity of which a cutoff is chosen, and folds of documents by their hashed ids.
+_BINS, _FOLDS = 4096, 3
 
 
 @cache
@@ -178,11 +181,15 @@ def features(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class OrdinalModel:
-    """A weight by feature, increasing thresholds, and the expected severity from which a document counts as a case."""
+    """A weight by feature, increasing thresholds, and the expected severity from which a document counts as a case.
+
+    ``unseen`` holds the weights and thresholds by fold of models fitted without the documents of that fold.
+    """
 
     weights: np.ndarray
     thresholds: np.ndarray
     cutoff: float = 1.0
+    unseen: tuple[np.ndarray, np.ndarray] | None = None
 
     def scores(self, seg: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(seg, self.weights[feature], minlength=n) / np.sqrt(np.maximum(np.bincount(seg, minlength=n), 1))
@@ -234,14 +241,35 @@ def _fit_ordinal(seg: np.ndarray, feature: np.ndarray, grade: np.ndarray, belief
     return OrdinalModel(w, t)
 
 
-def fit(texts: list[str], grades: list[int], levels: int = 3, rounds: int = 2, folds: int = 3, penalty: float = 1e-6, wrong: float = 0.2, thinned: int = 5, trust: float = 0.5) -> OrdinalModel:
+def severity_bin(severity: np.ndarray, levels: int) -> np.ndarray:
+    """The bin from 0 to ``_BINS`` - 1 of severities from 0 to ``levels`` - 1."""
+    return np.clip((severity * (_BINS / (levels - 1))).astype(np.int64), 0, _BINS - 1)
+
+
+def best_cutoff(documents: np.ndarray, flagged: np.ndarray, levels: int) -> float:
+    """The severity of the best balance of cases found and right hits, from the numbers of documents and of documents that raters flagged by ``severity_bin``.
+
+    Severities must come from models that haven't seen the document. Raters saw more flagged documents than there are elsewhere, so
+    ``documents`` tell how many a cutoff flags and ``flagged`` only which part of the cases it finds. Any bin's start may be the cutoff.
+    """
+    hit = np.cumsum(documents[::-1])[::-1] / max(1, documents.sum())
+    recall = np.cumsum(flagged[::-1])[::-1] / max(1, flagged.sum())
+    sure = _BINS // 2
+    prevalence = max(hit[sure], 1 / max(1, documents.sum())) / max(recall[sure], 1 / max(1, flagged.sum()))
+    balance = recall[1:] / (hit[1:] + prevalence)
+    # of cutoffs that are about as good the lowest
+    return float((np.flatnonzero(balance * 1.001 >= balance.max())[0] + 1) * (levels - 1) / _BINS)
+
+
+def fit(texts: list[str], grades: list[int], levels: int = 3, rounds: int = 2, folds: int = _FOLDS, penalty: float = 1e-6, wrong: float = 0.2, thinned: int = 5, trust: float = 0.5, fold: list[int] | None = None) -> OrdinalModel:
     """Fits on whole texts with grades 0 to ``levels`` - 1; -1 stands for a text without a verdict, which counts as clean with weight ``trust``.
 
     Without texts of grade 0 and of a higher one, nothing is ever flagged.
 
     Which sentence made raters flag a document is not known. Each gets the belief that models fitted without its document
     give it among the document's sentences, against the chance ``wrong`` that the verdict errs; regression and belief alternate.
-    Of the sentences of clean documents one in ``thinned`` stands for all, besides the most suspicious ones.
+    Of the sentences of clean documents one in ``thinned`` stands for all, besides the most suspicious ones. ``fold`` gives each text's fold, by
+    default a random one. The cutoff is that of these texts; ``score`` takes it from all documents.
     """
     grade = np.array(grades, np.int64)
     size = 1 << _BITS
@@ -269,7 +297,7 @@ def fit(texts: list[str], grades: list[int], levels: int = 3, rounds: int = 2, f
     doc, seg, dense, kd, kf = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     value = 1 / np.sqrt(np.maximum(np.bincount(seg, minlength=n), 1))
-    fold = np.random.default_rng(5).integers(0, folds, docs)
+    fold = np.random.default_rng(5).integers(0, folds, docs) if fold is None else np.array(fold, np.int64)
     lot = np.random.default_rng(6).integers(0, thinned, n) == 0
 
     def start(train: np.ndarray) -> np.ndarray:
@@ -305,10 +333,12 @@ def fit(texts: list[str], grades: list[int], levels: int = 3, rounds: int = 2, f
         odds[mine] = np.exp(np.minimum(scored(start(fold != f))[mine], 20)) / 15  # sentences per document, about
     kd = kf = None
     severity = np.zeros(docs)
+    unseen = np.zeros((folds, size), np.float32), np.zeros((folds, levels - 1))
     for _ in range(rounds):
         belief, before, odds = beliefs(odds), odds, np.zeros(n)
         for f in range(folds):
             m = learn(fold != f, belief, before)
+            unseen[0][f, vocabulary], unseen[1][f] = m.weights, m.thresholds
             mine = (fold == f)[doc]
             new = scored(m.weights)
             odds[mine] = np.exp(np.clip(new - m.thresholds[0], -20, 20))[mine]
@@ -316,20 +346,10 @@ def fit(texts: list[str], grades: list[int], levels: int = 3, rounds: int = 2, f
     last = learn(np.ones(docs, bool), beliefs(odds), odds)
     weights = np.zeros(size)
     weights[vocabulary] = last.weights
-    model = OrdinalModel(weights, last.thresholds)
-    # the cutoff of the best balance, judged on documents that a model hasn't seen. Raters saw more flagged documents than there are
-    # elsewhere, so where there are texts without a verdict they tell how many documents a cutoff flags.
+    # judged on documents that a model hasn't seen; where there are texts without a verdict they tell how many documents a cutoff flags
     judged = labelled if labelled.all() else ~labelled
-    sure_hits = severity >= (levels - 1) / 2
-    found = max((sure_hits & flagged).sum() / flagged.sum(), 1 / flagged.sum())
-    prevalence = max(sure_hits[judged].mean(), 1 / judged.sum()) / found
-    best, model.cutoff = -1.0, (levels - 1) / 2
-    for c in np.linspace(0.03, 0.15, 13) * (levels - 1):
-        hit = severity >= c
-        balance = (hit & flagged).sum() / flagged.sum() / (hit[judged].mean() + prevalence)
-        if balance > best * 1.001:
-            best, model.cutoff = balance, float(c)
-    return model
+    counts = [np.bincount(severity_bin(severity[x], levels), minlength=_BINS) for x in (judged, flagged)]
+    return OrdinalModel(weights, last.thresholds, best_cutoff(*counts, levels), unseen)
 
 
 def graded(labels: DataFrame, doc_id: str = "doc_id", verdict: str = "verdict", flagged: str = "flagged", clean: str = "clean") -> DataFrame:
@@ -348,18 +368,21 @@ def fit_on(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     part = min(1.0, 1.1 * unlabelled / max(1, documents.count()))
     others = docs.where(F.col("h") <= min(2**63 - 1, int(part * 2**64) - 2**63)).join(graded(labels).select("doc_id"), "doc_id", "left_anti")
     rows += others.select("t", F.lit(-1).alias("grade"), "h").orderBy("h", "t").limit(unlabelled).collect()
-    return fit([r.t for r in rows], [r.grade for r in rows])
+    return fit([r.t for r in rows], [r.grade for r in rows], fold=[r.h % _FOLDS for r in rows])
 
 
 _SCORED = "severity double, p_divided double, p_severe double, flagged boolean, worst_start int, worst_length int"
 
 
-def score_batch(model: OrdinalModel, text: pa.Array) -> dict[str, np.ndarray]:
-    """``_SCORED`` by column; a text without a sentence has severity 0 and no worst sentence (-1, 0)."""
+def score_batch(model: OrdinalModel, text: pa.Array, fold: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """``_SCORED`` by column; a text without a sentence has severity 0 and no worst sentence (-1, 0).
+
+    With ``fold`` of each text also ``unseen``, the severity by the model fitted without its fold.
+    """
     points, offsets = code_points(text)
     n = len(text)
     starts, doc = segments(points, offsets)
-    at, length, top = np.full(n, -1), np.zeros(n, np.int64), np.full(n, -30.0)
+    at, length, top, other = np.full(n, -1), np.zeros(n, np.int64), np.full(n, -30.0), np.full(n, -30.0)
     if len(starts):
         seg, feature = features(points, starts)
         s = model.scores(seg, feature, len(starts))
@@ -368,9 +391,13 @@ def score_batch(model: OrdinalModel, text: pa.Array) -> dict[str, np.ndarray]:
         top[doc[worst]] = s[worst]
         at[doc[worst]] = starts[worst] - offsets[doc[worst]]
         length[doc[worst]] = np.diff(np.append(starts, len(points)))[worst]
+        if fold is not None:
+            u = np.bincount(seg, model.unseen[0][fold[doc[seg]], feature], minlength=len(starts)) / np.sqrt(np.maximum(np.bincount(seg, minlength=len(starts)), 1))
+            np.maximum.at(other, doc, u)
     p = _sigmoid(top[:, None] - model.thresholds[None, :])
     severity = p.sum(1)
-    return {"severity": severity, "p_divided": p[:, 0], "p_severe": p[:, -1], "flagged": severity >= model.cutoff, "worst_start": at.astype(np.int32), "worst_length": length.astype(np.int32)}
+    out = {"severity": severity, "p_divided": p[:, 0], "p_severe": p[:, -1], "flagged": severity >= model.cutoff, "worst_start": at.astype(np.int32), "worst_length": length.astype(np.int32)}
+    return out if fold is None else out | {"unseen": _sigmoid(other[:, None] - model.unseen[1][fold]).sum(1)}
 
 
 def _scorer(model: OrdinalModel, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -378,7 +405,7 @@ def _scorer(model: OrdinalModel, names: list[str]) -> Callable[[Iterator[pa.Reco
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                out = score_batch(model, b.column("_text"))
+                out = score_batch(model, b.column("_text"), b.column("_fold").to_numpy() if model.unseen else None)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *map(pa.array, out.values())], names=[*names, *out])
 
     return run
@@ -388,12 +415,36 @@ def score(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, source, severity, p_divided, p_severe, flagged, worst_start, worst_length) of every document.
 
     Texts are read whole; a null text counts as empty, with severity 0. Copies and repeated ids are scored each; other columns are
-    ignored. Without labels of both kinds no document is flagged. The model sent to the tasks has a fixed size.
+    ignored. Without labels of both kinds no document is flagged. The models sent to the tasks have a fixed size. Without a ``model``
+    one is fitted, and ``corpus_cutoff`` takes its cutoff from all documents and all labels.
     """
-    model = model or fit_on(documents, labels, doc_id, text)
+    given, model = model, model or fit_on(documents, labels, doc_id, text)
     kinds = dict(documents.dtypes)
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(text, F.lit("")).alias("_text"))
-    return rows.mapInArrow(_scorer(model, ["doc_id", "source"]), f"doc_id {kinds[doc_id]}, source {kinds[source]}, {_SCORED}")
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(text, F.lit("")).alias("_text"), F.pmod(F.xxhash64(doc_id), F.lit(_FOLDS)).alias("_fold"))
+    schema = f"doc_id {kinds[doc_id]}, source {kinds[source]}, {_SCORED}"
+    if given or not model.unseen:
+        return rows.mapInArrow(_scorer(replace(model, unseen=None), ["doc_id", "source"]), schema)
+    scored = written(rows.mapInArrow(_scorer(model, ["doc_id", "source"]), f"{schema}, unseen double"), "scores")
+    cutoff = corpus_cutoff(scored, labels, len(model.thresholds) + 1)
+    return scored.withColumn("flagged", F.col("severity") >= cutoff).drop("unseen")
+
+
+def corpus_cutoff(scored: DataFrame, labels: DataFrame, levels: int) -> float:
+    """The severity from which as many rows of (doc_id, severity, unseen) are flagged as by ``best_cutoff`` of ``unseen`` and all labels.
+
+    Models of fewer folds give other severities than the one of all, so the number flagged is carried over, not the severity. The
+    driver gets two rows per bin.
+    """
+    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), F.floor(F.col(c) * F.lit(_BINS / (levels - 1)))))
+    rows = scored.join(graded(labels), "doc_id", "left").select("grade", F.posexplode(F.array(at("unseen"), at("severity"))).alias("kind", "bin"))
+    by = rows.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("grade") > 0).alias("f"))
+    documents, flagged = np.zeros((2, _BINS), np.int64), np.zeros((2, _BINS), np.int64)
+    for r in by.collect():
+        documents[r.kind, r.bin], flagged[r.kind, r.bin] = r.n, r.f
+    first = severity_bin(np.array([best_cutoff(documents[0], flagged[0], levels)]), levels)[0]
+    most = documents[0, first:].sum()
+    hits = np.append(np.cumsum(documents[1, ::-1])[::-1], 0)
+    return float(np.flatnonzero(hits <= most)[0] * (levels - 1) / _BINS)
 
 
 def rates(scored: DataFrame) -> DataFrame:

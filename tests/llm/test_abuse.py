@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,25 @@ def test_in_spark(spark):
     assert not any(r.flagged for r in A.score(d.limit(5), spark.createDataFrame([], "doc_id bigint, verdict string")).collect())
 
 
+def test_the_cutoff_is_that_of_all_documents(spark, monkeypatch):
+    texts, bad = data(1, 600)
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, "flagged" if bad[i] else "clean") for i in range(300)], "doc_id bigint, verdict string")
+    fit_on = A.fit_on
+    # a cutoff from a sample, however far off, decides nothing
+    monkeypatch.setattr(A, "fit_on", lambda *a: replace(fit_on(*a, unlabelled=20), cutoff=5.0))
+    flagged = {r.doc_id for r in A.score(d, labels).where("flagged").collect()}
+    truth = set(np.flatnonzero(bad).tolist())
+    assert len(flagged & truth) >= 0.95 * len(truth) and len(flagged - truth) <= 0.05 * len(flagged)
+
+
+def test_any_severity_may_be_the_cutoff():
+    for low in (0.01, 0.9):
+        severity = np.append(np.full(900, low / 2), np.full(100, low * 1.1))
+        documents, flagged = (np.bincount(A.severity_bin(x, 3), minlength=A._BINS) for x in (severity, severity[900:]))
+        assert low / 2 < A.best_cutoff(documents, flagged, 3) <= low * 1.1
+
+
 def test_grades(spark):
     labels = spark.createDataFrame([(1, "clean"), (1, "Clean "), (2, "clean"), (2, "flagged"), (3, "flagged"), (4, None), (5, "else")], "doc_id bigint, verdict string")
     assert {r.doc_id: r.grade for r in A.graded(labels).collect()} == {1: 0, 2: 1, 3: 2}
