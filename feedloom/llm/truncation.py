@@ -56,11 +56,18 @@ def length_hazards(lengths: DataFrame, false_discovery: float = 0.001, ratio: fl
 
     ``lengths`` has (table_name, source, unit, length). A length is significant if its Chernoff bound passes the
     Benjamini-Hochberg step within its table and source, its hazard is ``ratio`` times that of its neighbours and
-    ``least`` texts end there. Windows run over one row per distinct length, never over texts.
+    ``least`` texts end there. Lengths at which no text ends count among the neighbours with the texts that get there. Windows run
+    over a row per distinct length and its neighbours, never over texts.
     """
     per = lengths.groupBy("table_name", "source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     bins = per.withColumn("width", F.explode(F.array(*[F.lit(w) for w in WIDTHS]))).groupBy("table_name", "source", "unit", "width", F.floor(F.col("length") / F.col("width")).alias("bin")).agg(F.sum("n").alias("ended"))
     by = Window.partitionBy("table_name", "source", "unit", "width").orderBy("bin")
+    # of a gap only the bins near its ends are made, each once; beyond the last bin no text is at risk
+    last, following = F.lag("bin").over(by), F.lead("bin").over(by)
+    bins = bins.withColumn("lo", F.greatest(F.coalesce(last + _NEIGHBOURS + 1, F.floor(1 / F.col("width"))), F.col("bin") - _NEIGHBOURS))
+    bins = bins.withColumn("hi", F.least(F.coalesce(following - 1, F.col("bin")), F.col("bin") + _NEIGHBOURS))
+    at = F.explode(F.sequence(F.least("lo", "bin"), F.col("hi")))
+    bins = bins.withColumn("at", at).withColumn("ended", F.when(F.col("at") == F.col("bin"), F.col("ended")).otherwise(0)).drop("bin", "lo", "hi").withColumnRenamed("at", "bin")
     at_risk = F.sum("ended").over(by.rowsBetween(0, Window.unboundedFollowing))
     near = [by.rangeBetween(-_NEIGHBOURS, -2), by.rangeBetween(2, _NEIGHBOURS)]
     both = lambda c: sum(F.coalesce(F.sum(c).over(w), F.lit(0)) for w in near)
@@ -70,6 +77,7 @@ def length_hazards(lengths: DataFrame, false_discovery: float = 0.001, ratio: fl
     q, p = F.least(F.col("hazard"), F.lit(1 - 1e-12)), F.col("around")
     divergence = q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p))
     h = h.withColumn("log_p", F.when(F.col("hazard") > p, -F.col("at_risk") * divergence).otherwise(0.0))
+    h = h.where(F.col("ended") > 0)
     family = Window.partitionBy("table_name", "source")
     h = h.withColumn("k", F.row_number().over(family.orderBy("log_p", "unit", "width", "bin"))).withColumn("m", F.count(F.lit(1)).over(family))
     passed = F.max(F.when(F.col("log_p") <= F.log(F.lit(false_discovery) * F.col("k") / F.col("m")), F.col("k"))).over(family)

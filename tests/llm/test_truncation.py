@@ -52,6 +52,21 @@ def test_limits(spark):
     assert not any(r.source == "whole" and r.width == 1 for r in limits)
 
 
+def test_lengths_without_an_end_count_as_neighbours(spark):
+    lengths = [5, 23, 40, 77, 101] + [160] * 15
+    rows = [("t", s, "chars", n + d) for s, d in (("a", 0), ("b", 2)) for n in lengths] + [("t", "far", "chars", 7), ("t", "far", "chars", 10_000_000)]
+    hazards = T.length_hazards(spark.createDataFrame(rows, "table_name string, source string, unit string, length bigint"), false_discovery=1.0, ratio=0.0, least=1).where("width = 1").collect()
+    got = {(r.source, r.bin): r for r in hazards}
+    for (source, at), r in got.items():
+        mine = [n for _, s, _, n in rows if s == source]
+        near = [b for b in range(max(1, at - 12), at + 13) if abs(b - at) > 1]
+        want = (sum(mine.count(b) for b in near) + 0.5) / (sum(sum(n >= b for n in mine) for b in near) + 1)
+        assert abs(r.around - min(want, 0.999)) < 1e-9 and r.at_risk == sum(n >= at for n in mine) and r.ended == mine.count(at)
+    assert ("a", 160) in got
+    found = T.length_hazards(spark.createDataFrame(rows, "table_name string, source string, unit string, length bigint"))
+    assert {(r.source, r.bin) for r in found.where("width = 1").collect()} == {("a", 160), ("b", 162)}
+
+
 def test_rates_and_empty_tables(spark):
     rows, _ = corpus(n=300)
     df = spark.createDataFrame(rows, SCHEMA)
