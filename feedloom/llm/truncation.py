@@ -25,6 +25,8 @@ from feedloom.session import written
 #: What feeds put after a break, at the end of a text, and the line after which mail adds its own.
 MARKER = r"\s*(\[\s*(?:…|\.\.\.)\s*\]|…|\.\.\.)\s*$"
 TRAILER = r"\n--[ \t]*\n[^\n]*\s*$"
+#: A letter or mark as ``classes`` has them.
+LETTER = r"[[\p{L}\p{M}]&&[\x{0}-\x{FFFF}\x{20000}-\x{31FFF}]]"
 CLOSING = ".!?。！？…"
 #: Code points at the end of a text in which a trailer and a marker are looked for.
 _TRAILER_END, _MARKER_END = 200, 24
@@ -202,8 +204,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         closed[row_of[behind & (shut | other)]] = True
         dangling[row_of[behind & open_]] = True
         dangling &= ~closed
-        letters = np.bincount(row_of[(kinds & 1) > 0], minlength=n)
-        closed |= letters == 0  # numbers alone are no sentence that could break off
+        closed |= ~b.column("has_letter").to_numpy(zero_copy_only=False)  # numbers alone are no sentence that could break off
         torn = np.bincount(row_of[behind & torn], minlength=n) > 0
         closed &= ~torn
         dangling = (dangling & ~closed) | torn
@@ -212,10 +213,10 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def endings(texts: DataFrame, tail: int = 200) -> DataFrame:
-    """One row per text with its lengths and the hashes of its last words; a context needs no more than ``tail`` characters before the end."""
+    """One row per text with its lengths and the hashes of its last words; a context needs no more than ``tail`` characters before the end. Whether there is a letter is asked of the whole text."""
     part = texts.select(
         "table_name", "record_id", "source", F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"), F.length("body").cast("bigint").alias("body_chars"), "marker",
-        F.when(F.length("body") > tail, F.expr(f"right(body, {tail})")).otherwise(F.col("body")).alias("tail"),
+        F.when(F.length("body") > tail, F.expr(f"right(body, {tail})")).otherwise(F.col("body")).alias("tail"), F.col("body").rlike(LETTER).alias("has_letter"),
     )
     return part.mapInArrow(_endings, _ENDING)
 

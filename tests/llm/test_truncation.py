@@ -67,6 +67,12 @@ def test_lengths_without_an_end_count_as_neighbours(spark):
     assert {(r.source, r.bin) for r in found.where("width = 1").collect()} == {("a", 160), ("b", 162)}
 
 
+def test_numbers_at_the_end_of_prose_do_not_close_it(spark):
+    rows = [(1, "a", "The fan stops at " + "12 " * 120 + "1", "", 1), (2, "a", "12 " * 120 + "1", "", 1), (3, "a", "日本 " + "12 " * 120 + "1", "", 1)]
+    got = T.endings(T.prepared(spark.createDataFrame(rows, SCHEMA), "t", "record_id", "text", "source")).collect()
+    assert {r.record_id: r.closed for r in got} == {1: False, 2: True, 3: False}
+
+
 def test_rates_and_empty_tables(spark):
     rows, _ = corpus(n=300)
     df = spark.createDataFrame(rows, SCHEMA)
