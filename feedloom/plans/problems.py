@@ -12,6 +12,8 @@ from feedloom.operators.topn import skipping_report, top_n
 from feedloom.session import read_table
 
 TERM_FIELDS = ["error_codes", "themes", "versions_mentioned"]
+#: Bytes of a row group of p5: most categories' themes are small, so only small row groups hold one of them alone.
+_ROW_GROUP = 16 << 10
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,13 +53,13 @@ def _theme_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three records of highest engagement for every category and theme."""
-    best = top_n(_theme_scores(spark, sf_dir), ["category", "theme"], "engagement_score", "record_id", 3)
+    best = top_n(_theme_scores(spark, sf_dir), ["category", "theme"], "engagement_score", "record_id", 3, _ROW_GROUP)
     return best.select("category", "theme", "place", "record_id")
 
 
 def p5_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row groups and row groups opened by ``p5_found``, per clustered file."""
-    return skipping_report(_theme_scores(spark, sf_dir), ["category", "theme"], "engagement_score", "record_id", 3).select("row_groups", "opened")
+    return skipping_report(_theme_scores(spark, sf_dir), ["category", "theme"], "engagement_score", "record_id", 3, _ROW_GROUP).select("row_groups", "opened")
 
 
 QUERIES = {"p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_skipping": p5_skipping}
