@@ -33,11 +33,9 @@ def _theme_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of themes in 5 records and a thousandth of all at least, three times as often as by chance or more."""
-    baskets = _theme_baskets(spark, sf_dir)
-    total = baskets.count()
-    least = max(5, -(-total // 1000))
     strong = F.col("together") * F.col("total") >= 3 * F.col("n_a") * F.col("n_b")
-    return associations(baskets, "themes", min_records=least, total=total).where(strong).select(F.col("item_a").alias("theme_a"), F.col("item_b").alias("theme_b"))
+    frequent = associations(_theme_baskets(spark, sf_dir), "themes", min_records=5, min_share=(1, 1000))
+    return frequent.where(strong).select(F.col("item_a").alias("theme_a"), F.col("item_b").alias("theme_b"))
 
 
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

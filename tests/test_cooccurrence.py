@@ -4,7 +4,9 @@ from itertools import combinations
 
 import pytest
 
-from feedloom.operators.cooccurrence import associations, pair_counts
+from pyspark.sql import functions as F
+
+from feedloom.operators.cooccurrence import _identified, associations, chunk_sides, item_sets, pair_counts
 
 SCHEMA = "id int, items array<string>, together string"
 
@@ -32,6 +34,30 @@ def test_huge_basket(spark):
     assert got["i1", "i2"] == 2 and sum(got.values()) == 300 * 299 // 2 + 1
 
 
+def test_a_huge_basket_is_sent_chunk_by_chunk(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: x.cast("string")).alias("items"))
+    sides = chunk_sides(_identified(item_sets(df, "items")), 64)
+    chunks = -(-20_000 // 64)
+    sent = sum(side.agg(F.sum(F.size(c))).first()[0] for side, c in zip(sides, ("left", "right"), strict=True))
+    assert sent <= chunks**2 * 2 * 64
+    widest = max(side.agg(F.max(F.size(c))).first()[0] for side, c in zip(sides, ("left", "right"), strict=True))
+    assert widest == 64 and all(side.rdd.getNumPartitions() > 1 for side in sides)
+
+
+def test_many_frequent_items(spark):
+    # two rows each for 25,000 items of which none is left out, beside one that is
+    rows = spark.range(50_000).select(F.array(F.concat(F.lit("a"), (F.col("id") % 25_000).cast("string")), F.concat(F.lit("b"), (F.col("id") % 25_000).cast("string")), F.concat(F.lit("once"), F.col("id").cast("string"))).alias("items"))
+    got = associations(rows, "items", min_records=2)
+    assert got.count() == 25_000 and got.where("together <> 2 or n_a <> 2 or item_a like 'once%' or item_b like 'once%'").count() == 0
+
+
+def test_share_of_all_rows(spark):
+    rows = [(i, ["a", "b"] if i < 30 else ["a", "c"] if i < 35 else None, None) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {(r.item_a, r.item_b) for r in associations(df, "items", min_share=(1, 10)).collect()} == {("a", "b")}
+    assert {(r.item_a, r.item_b) for r in associations(df, "items", min_share=(1, 60)).collect()} == {("a", "b"), ("a", "c")}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert found(df, 8) == {} and associations(df, "items").count() == 0
