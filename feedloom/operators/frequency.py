@@ -14,9 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions.terms import terms
 
+#: Types of ids that are compared as they are; others by their JSON.
+_PLAIN = (T.IntegralType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _RUN = "field_name string, term string, occurrences bigint, records bigint"
 
 
@@ -28,10 +31,12 @@ def term_pairs(df: DataFrame, fields: list[str], record_id: str) -> DataFrame:
 
 
 def _changes(column: pa.Array) -> np.ndarray:
-    """True where a value differs from the one before it."""
+    """True where a value differs from the one before it; null differs from every value but null."""
     if len(column) < 2:
         return np.zeros(max(0, len(column) - 1), bool)
-    return pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    here, before = column.slice(1), column.slice(0, len(column) - 1)
+    differ = pc.not_equal(here, before)
+    return (pc.fill_null(differ, pc.not_equal(here.is_null(), before.is_null())) if column.null_count else differ).to_numpy(zero_copy_only=False)
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,13 +69,14 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_frequencies(df: DataFrame, fields: list[str], record_id: str = "record_id", partitions: int | None = None) -> DataFrame:
     """(field_name, term, occurrences, records) for every distinct term of the array columns ``fields``.
 
-    A record is a row; ``record_id`` tells records apart, so rows that repeat an id count as one record and
-    rows without an id (null) together as one. Null arrays, null elements and empty terms count
+    A record is a row; ``record_id``, of any type, tells records apart, so rows that repeat an id count as one record and
+    rows without an id (null) together as one, apart from that of an empty id. Null arrays, null elements and empty terms count
     nowhere; an element repeated within a row counts per occurrence but once as a record. An empty table
     gives no rows. Columns besides ``fields`` and ``record_id`` are ignored, whatever their names.
     """
     pairs = term_pairs(df, fields, record_id)
-    pairs = pairs.withColumn("rid", F.coalesce(F.col("rid").cast("string"), F.lit("")) if dict(df.dtypes)[record_id] == "string" else F.coalesce(F.col("rid").cast("bigint"), F.lit(-(2**63)).cast("bigint")))
+    if not isinstance(df.schema[record_id].dataType, _PLAIN):
+        pairs = pairs.withColumn("rid", F.when(F.col("rid").isNotNull(), F.to_json(F.struct("rid"))))
     keys = ["field_name", "term", "rid"]
     sorted_pairs = (pairs.repartitionByRange(partitions, *keys) if partitions else pairs.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     runs = sorted_pairs.mapInArrow(scan_runs, _RUN)

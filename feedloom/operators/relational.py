@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from feedloom.session import written
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of smallest ``order`` for each key; null keys are one key. Rows equal in key and order: the smallest by their other columns.
 
-    An aggregation, not a window: every task keeps one row per key before the shuffle, however often a key repeats.
+    Every task passes on one row per key before the shuffle (a group limit below the window). All columns of ``df`` take part
+    in the order, so select the ones that are needed first.
     """
     rest = [c for c in df.columns if c not in keys and c != order]
-    row = F.min(F.struct(F.col(order), *[F.col(c) for c in rest])).alias("_row")
-    return df.groupBy(*keys).agg(row).select(*[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *rest))
+    return df.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
 def left_lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: Column, name: str) -> DataFrame:
@@ -32,9 +36,12 @@ def flagged(df: DataFrame, members: DataFrame, key: str, name: str) -> DataFrame
 
 
 def distribution(df: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, n, pct, first): counts and percentages by value, with the smallest ``order`` of each value to settle ties. No rows give none."""
-    total = df.count()
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    """(key, n, pct, first): counts and percentages by value, with the smallest ``order`` of each value to settle ties. No rows give none.
+
+    The counts are written, so that ``df`` is evaluated once for them and their total.
+    """
+    counts = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.withColumn("pct", F.col("n") / F.lit(float(max(total, 1))) * 100)
 
 

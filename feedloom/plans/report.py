@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from feedloom.functions import columns as C
 from feedloom.functions import rules as R
 from feedloom.operators.ranking import numbered
-from feedloom.operators.relational import distribution, inverted_index
+from feedloom.operators.relational import distribution, exploded_counts, inverted_index
 from feedloom.plans.topics import issue_order, theme_rollup
 
 
@@ -24,19 +25,27 @@ def kpis(all_topics: DataFrame) -> DataFrame:
     )
 
 
-def type_distribution(all_topics: DataFrame) -> DataFrame:
-    """(topic_type, label, n, pct, bar) with ``first`` for ties of n."""
-    d = distribution(all_topics, "topic_type", "ord")
-    return d.select("topic_type", C.lookup(R.LABELS, F.col("topic_type"), F.col("topic_type")).alias("label"), "n", "pct", C.bar(F.col("pct")).alias("bar"), "first")
-
-
 def top(df: DataFrame, order: list[Column], n: int, name: str = "place") -> DataFrame:
     """The first ``n`` rows in ``order`` (without ties) with their place; only ``n`` rows meet in one task."""
-    from pyspark.sql.window import Window
-
     return df.orderBy(*order).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
+def _by_count(d: DataFrame, most: int) -> DataFrame:
+    """Rows of a ``distribution`` over at most ``most`` fixed values with their ``place``: by count, ties by first encounter."""
+    return top(d, [F.col("n").desc(), F.col("first").asc()], most)
+
+
+def type_distribution(all_topics: DataFrame) -> DataFrame:
+    """(place, topic_type, label, n, pct, bar)."""
+    d = _by_count(distribution(all_topics, "topic_type", "ord"), len(R.LABELS) + 1)
+    return d.select("place", "topic_type", C.lookup(R.LABELS, F.col("topic_type"), F.col("topic_type")).alias("label"), "n", "pct", C.bar(F.col("pct")).alias("bar"))
+
+
+def resolution_distribution(all_topics: DataFrame) -> DataFrame:
+    """(place, resolution_status, n, pct)."""
+    return _by_count(distribution(all_topics, "resolution_status", "ord"), 5)
+
+
 def top_themes(issue_rows: DataFrame, n: int = 15) -> DataFrame:
     """The ``n`` themes of most issues; ties by their first issue."""
     return top(theme_rollup(issue_rows), [F.col("issues").desc(), F.col("first").asc()], n)
@@ -68,7 +77,6 @@ def report_lines(all_topics: DataFrame, issue_rows: DataFrame, feature_rows: Dat
     names = [("总主题帖", "topics"), ("总帖子数（含回复，估算）", "posts"), ("总浏览量（估算）", "views"), ("问题/报错帖", "problem_error"), ("疑问/求助帖", "question_howto"), ("功能建议帖", "feature_request"), ("有官方回应", "official"), ("暂无官方回应", "unanswered")]
     kpi = k.select(F.posexplode(F.array(*[F.concat(F.lit(f"| {n} | "), C.thousands(c) if c == "views" else F.col(c).cast("string"), F.lit(" |")) for n, c in names])).alias("line", "text"))
     kinds = type_distribution(all_topics)
-    shown = top(kinds, [F.col("n").desc(), F.col("first").asc()], len(R.LABELS) + 1)
     official = F.when(F.col("has_official_response"), "✅").otherwise("❌")
     icon = F.when(F.col("topic_type") == "problem_error", "🔴").otherwise("🟡")
     status = lambda c: C.cut(c, 5)
@@ -81,7 +89,7 @@ def report_lines(all_topics: DataFrame, issue_rows: DataFrame, feature_rows: Dat
     parts = [
         say(0, "# 用户问题与反馈分析报告\n", f"**生成时间**: {generated}", f"**数据来源**: {source}"),
         say(1, "## 1. 数据概览\n", "| 指标 | 数值 |", "|---|---|"), _lines(kpi, 1, F.col("line"), F.col("text")),
-        say(2, "## 2. 帖子类型分布\n"), _lines(shown, 2, F.col("place"), fmt("- %s: %d (%s%%) %s", "label", "n", F.bround("pct", 0).cast("int").cast("string"), "bar")),
+        say(2, "## 2. 帖子类型分布\n"), _lines(kinds, 2, F.col("place"), fmt("- %s: %d (%s%%) %s", "label", "n", F.bround("pct", 0).cast("int").cast("string"), "bar")),
         say(3, "## 3. 高频问题主题（按问题数量排序）\n", "| 排名 | 主题 | 问题数 | 未回应 | 高热帖 |", "|---|---|---|---|---|"),
         _lines(top_themes(issue_rows), 3, F.col("place"), fmt("| %d | %s | %d | %d | [%s...](%s) |", "place", "theme", "issues", "unresolved", C.cut("hot_title", 30), "hot_url")),
         say(4, "## 4. 热门问题 Top 20（按热度排序）\n", "| # | 类型 | 标题 | 浏览 | 回复 | 状态 | 官方 | 链接 |", "|---|---|---|---|---|---|---|---|"),
@@ -100,3 +108,42 @@ def report_lines(all_topics: DataFrame, issue_rows: DataFrame, feature_rows: Dat
             _lines(listed, 7, F.col("place"), fmt("| `%s` | %d | %s | [%s...](%s) |", "code", "mentions", status("status"), C.cut("title", 35), "url")),
         ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def statistics(all_topics: DataFrame, issue_rows: DataFrame, feature_rows: DataFrame, feed: DataFrame) -> DataFrame:
+    """(section, place, label, n, pct) of the figures an export prints: output sizes, distributions, most frequent themes, requests of most support."""
+    spark = all_topics.sparkSession
+    sizes = [("topics", all_topics), ("issues", issue_rows), ("feature requests", feature_rows), ("feedback items", feed)]
+    counts = spark.createDataFrame([(i, name, df.count()) for i, (name, df) in enumerate(sizes, 1)], "place bigint, label string, n bigint")
+
+    def part(section: str, df: DataFrame, label: str | Column, n: str = "n", pct: bool = False) -> DataFrame:
+        share = F.col("pct") if pct else F.lit(None).cast("double")
+        return df.select(F.lit(section).alias("section"), "place", (F.col(label) if isinstance(label, str) else label).alias("label"), F.col(n).cast("bigint").alias("n"), share.alias("pct"))
+
+    feature = F.concat(F.lit("["), C.padded("total_support", 3), F.lit(" support] "), C.cut("title", 60))
+    by_feed = lambda key: _by_count(distribution(feed, key, "ord"), 10)
+    tags = top(exploded_counts(feed, "themes", "ord"), [F.col("n").desc(), F.col("first").asc()], 10)
+    parts = [
+        part("outputs", counts, "label"),
+        part("topic types", type_distribution(all_topics), "label", pct=True),
+        part("resolution", resolution_distribution(all_topics), "resolution_status", pct=True),
+        part("issue themes", top_themes(issue_rows, 10), "theme", "issues"),
+        part("feature requests", top(feature_rows, [F.col("total_support").desc(), F.col("ord").asc()], 10), feature, "total_support"),
+        part("feedback types", by_feed("feedback_type"), "feedback_type", pct=True),
+        part("themes", tags, "item"),
+        part("sentiments", by_feed("sentiment"), "sentiment", pct=True),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def statistics_lines(figures: DataFrame) -> list[str]:
+    """``statistics`` as text, a few dozen lines."""
+    lines, last = [], None
+    number = F.when(F.col("pct").isNull(), F.col("n").cast("string")).otherwise(F.format_string("%d (%s%%)", "n", F.bround("pct", 1).cast("string")))
+    text = F.when(F.col("section") == "feature requests", F.col("label")).otherwise(F.concat("label", F.lit(": "), number))
+    for r in figures.select("section", "place", text.alias("text")).orderBy("section", "place").collect():
+        if r.section != last:
+            lines.append(f"{r.section}:")
+            last = r.section
+        lines.append(f"  {r.text}")
+    return lines

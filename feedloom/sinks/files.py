@@ -38,24 +38,22 @@ def write_report(lines: DataFrame, path: str) -> None:
             f.write(("\n" if i else "") + row.text)
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str, most_rows: int = 1_048_575) -> bool:
-    """A workbook with a sheet per frame, empty ones left out; False where the optional library is missing.
+def write_workbook(sheets: dict[str, DataFrame], path: str, most_rows: int = 1_048_575) -> None:
+    """A workbook with a sheet per frame, empty ones left out; without the optional library an ImportError.
 
-    A sheet of the format holds ``most_rows`` rows; a larger frame is refused, not cut.
+    A sheet of the format holds ``most_rows`` rows; a larger frame is refused before anything comes to the driver, not cut.
     """
-    try:
-        import openpyxl  # noqa: F401
-        import pandas as pd
-    except ImportError:
-        return False
-    frames = {name: df.limit(most_rows + 1).toPandas() for name, df in sheets.items()}
-    if any(len(f) > most_rows for f in frames.values()):
-        raise ValueError(f"a sheet holds {most_rows} rows at most")
+    import openpyxl  # noqa: F401
+    import pandas as pd
+
+    for name, df in sheets.items():
+        if (n := df.count()) > most_rows:
+            raise ValueError(f"a sheet holds {most_rows} rows at most, {name} has {n}")
+    frames = {name: df.toPandas() for name, df in sheets.items()}
     with pd.ExcelWriter(path, engine="openpyxl") as writer:
         for name, frame in frames.items():
             if len(frame):
                 frame.to_excel(writer, sheet_name=name, index=False)
-    return True
 
 
 def listing(folder: str) -> list[tuple[str, int]]:

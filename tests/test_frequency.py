@@ -40,6 +40,14 @@ def test_empty_and_long(spark):
     assert found(spark, [(1, [long, long.upper()], None, None, None)]) == {("a", long): (2, 1)}
 
 
+def test_ids_of_any_type(spark):
+    rows = [("", ["x"]), (None, ["x"]), (None, ["x"]), ("1", ["x"]), ("1", ["x"])]
+    df = spark.createDataFrame(rows, "record_id string, a array<string>")
+    ids = {"string": "record_id", "double": "try_cast(record_id as double)", "struct": "struct(record_id)", "date": "case when record_id = '1' then date '2020-01-01' end"}
+    got = {k: (r := term_frequencies(df.selectExpr(f"{v} as record_id", "a"), ["a"], partitions=3).first()).records + 10 * r.occurrences for k, v in ids.items()}
+    assert got == {"string": 53, "double": 52, "struct": 53, "date": 52}
+
+
 def test_one_term_holds_all_rows(spark):
     rows = [(i, ["x"], ["x", "x"], None, None) for i in range(5000)]
     assert found(spark, rows, partitions=8) == {("a", "x"): (5000, 5000), ("b", "x"): (10000, 5000)}

@@ -1,5 +1,6 @@
 import json
 import re
+import sys
 from pathlib import Path
 
 import pytest
@@ -83,18 +84,40 @@ def test_sinks(frames, tmp_path, spark):
     assert all('"nothing":null' in r.value for r in spark.read.text(str(tmp_path / "lines")).collect())
     assert [name for name, _ in files.listing(str(tmp_path))] == ["issues.json", "none.json"]
     assert files.listing_frame(spark, str(tmp_path / "lines")).count() >= 1
-    assert files.write_workbook({"a": frames[2]}, str(tmp_path / "w.xlsx")) in (True, False)
 
 
-def test_export(spark, tmp_path):
+def test_workbook(frames, tmp_path):
+    pd, _ = pytest.importorskip("pandas"), pytest.importorskip("openpyxl")
+    files.write_workbook({"a": frames[2], "none": frames[2].limit(0)}, str(tmp_path / "w.xlsx"))
+    assert list(pd.read_excel(tmp_path / "w.xlsx", sheet_name=None)) == ["a"]
+    with pytest.raises(ValueError, match="rows at most"):
+        files.write_workbook({"a": frames[0]}, str(tmp_path / "w.xlsx"), most_rows=2)
+
+
+def test_a_missing_library_is_no_silent_success(frames, tmp_path, monkeypatch):
+    monkeypatch.setitem(sys.modules, "openpyxl", None)
+    with pytest.raises(ImportError):
+        files.write_workbook({"a": frames[2]}, str(tmp_path / "w.xlsx"))
+
+
+def test_statistics(frames):
+    t, i, f, s = frames
+    lines = report.statistics_lines(report.statistics(t, i, f, topics.unified(t, s, i)))
+    assert "  topics: 5" in lines and "  [  9 support] Please add a lamp" in lines and "  neutral: 3 (60.0%)" in lines and "  bed: 2" in lines
+
+
+def test_export(spark, tmp_path, capsys):
     category = spark.createDataFrame([(87, "Main")], "category_id int, category_name string")
     official = spark.createDataFrame([(11,)], "topic_id bigint")
     summary = spark.createDataFrame([(10, "text")], "topic_id bigint, summary string")
     wrote = dict(export.export(source.from_rows(spark, ROWS), category, official, summary, str(tmp_path), "-", "test"))
     assert {"analysis_report.md", "all_topics.json", "issue_list.json", "feature_requests.json", "unified_feedback.json"} <= set(wrote)
+    assert "topic types:" in capsys.readouterr().out
     rows = json.loads((tmp_path / "data" / "all_topics.json").read_text(encoding="utf-8"))
     assert [r["topic_id"] for r in rows] == [10, 11, 12, 13, 14] and len(rows[0]) == 24
     assert len(json.loads((tmp_path / "data" / "unified_feedback.json").read_text(encoding="utf-8"))[0]) == 22
+    export.export_lines(source.from_rows(spark, ROWS), category, official, summary, str(tmp_path / "lines"))
+    assert [spark.read.json(str(tmp_path / "lines" / x)).count() for x in ("all_topics", "issue_list", "feature_requests", "unified_feedback", "full_index")] == [5, 3, 1, 5, 5]
 
 
 def test_pages(spark, tmp_path):
@@ -102,6 +125,10 @@ def test_pages(spark, tmp_path):
     (tmp_path / "page.json").write_text(json.dumps(page))
     got = source.from_pages(spark, str(tmp_path)).orderBy("ord").collect()
     assert [(r.topic_id, r.date_str, r.replies, r.has_accepted) for r in got] == [(5, "2025-03-04", 2, False), (6, None, None, False)]
+    for n in (2, 10):
+        (tmp_path / f"page_{n}.json").write_text(json.dumps({"topic_list": {"topics": [{"id": 100 * n + i} for i in range(3)]}}))
+    got = source.from_pages(spark, str(tmp_path / "page_*.json")).orderBy("ord").collect()
+    assert [(r.ord, r.topic_id) for r in got] == list(enumerate([200, 201, 202, 1000, 1001, 1002]))
     with pytest.raises(ValueError, match="11 fields"):
         source.from_rows(spark, [(1, 2)])
 
@@ -133,6 +160,6 @@ def test_queries_match_their_sql(spark, sf):
     db = duckdb.connect()
     for f in Path(sf).glob("*.parquet"):
         db.execute(f"create view {f.stem} as select * from '{f}'")
-    for name in ("p2_found", "p3_found", "p5_found", "theme_rollup", "unified_feed", "feature_requests", "listed_code_index"):
+    for name in ("p2_found", "p3_found", "p5_found", "theme_rollup", "unified_feed", "feature_requests", "listed_code_index", "report_lines", "statistics", "unified_table", "issue_table"):
         got, want = catalogue.QUERIES[name](spark, sf).toPandas(), db.execute(catalogue.ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and canon(got) == canon(want), name
