@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from feedloom.session import written
 
-#: What tells sets apart: 128 bits of their items.
-_ID = ["h", "g"]
-
 
 def _pairs_within(items: Column) -> Column:
     rest = lambda i: F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0)))
@@ -33,29 +30,30 @@ def item_sets(baskets: DataFrame, items: str) -> DataFrame:
 
 
 def _identified(sets: DataFrame) -> DataFrame:
-    return sets.select(F.xxhash64("items").alias("h"), F.xxhash64(F.lit(1), "items").alias("g"), "items", "copies")
+    """``sets`` with an ``id`` each, written, so that the ids stay what they are."""
+    return written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
 
 
 def chunk_sides(huge: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """(lefts, rights) of the chunk pairs i <= j of (h, g, items, copies) rows: each chunk once per pair it is in.
+    """(lefts, rights) of the chunk pairs i <= j of (id, items, copies) rows: each chunk once per pair it is in.
 
     Chunks are spread before they are repeated, since a basket of m chunks gives m (m + 1) of them.
     """
     last = F.floor((F.size("items") - 1) / chunk).cast("int")
     slices = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("items", k * chunk + 1, chunk))
     spread = int(huge.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = huge.select(*_ID, "copies", last.alias("last"), F.posexplode(slices).alias("c", "part")).repartition(spread, *_ID, "c")
-    lefts = chunks.select(*_ID, "copies", F.col("c").alias("i"), F.explode(F.sequence("c", "last")).alias("j"), F.col("part").alias("left"))
-    rights = chunks.select(*_ID, F.explode(F.sequence(F.lit(0), "c")).alias("i"), F.col("c").alias("j"), F.col("part").alias("right"))
+    chunks = huge.select("id", "copies", last.alias("last"), F.posexplode(slices).alias("c", "part")).repartition(spread, "id", "c")
+    lefts = chunks.select("id", "copies", F.col("c").alias("i"), F.explode(F.sequence("c", "last")).alias("j"), F.col("part").alias("left"))
+    rights = chunks.select("id", F.explode(F.sequence(F.lit(0), "c")).alias("i"), F.col("c").alias("j"), F.col("part").alias("right"))
     return lefts, rights
 
 
 def _pairs_of(sets: DataFrame, chunk: int) -> DataFrame:
-    """(item_a, item_b, together) of (h, g, items, copies) rows."""
+    """(item_a, item_b, together) of (id, items, copies) rows."""
     ordinary = sets.where((F.size("items") > 1) & (F.size("items") <= chunk)).select("copies", F.explode(_pairs_within(F.col("items"))).alias("p"))
     lefts, rights = chunk_sides(sets.where(F.size("items") > chunk), chunk)
     products = F.when(F.col("i") == F.col("j"), _pairs_within(F.col("left"))).otherwise(_pairs_across(F.col("left"), F.col("right")))
-    blocked = lefts.join(rights, [*_ID, "i", "j"]).select("copies", F.explode(products).alias("p"))
+    blocked = lefts.join(rights, ["id", "i", "j"]).select("copies", F.explode(products).alias("p"))
     return ordinary.unionByName(blocked).groupBy("p.item_a", "p.item_b").agg(F.sum("copies").alias("together"))
 
 
@@ -92,14 +90,14 @@ def associations(baskets: DataFrame, items: str, min_records: int = 1, chunk: in
     """
     if chunk < 2:
         raise ValueError("chunk must be 2 at least")
-    sets = written(item_sets(baskets, items), "sets")
+    sets = _identified(item_sets(baskets, items))
     total = sets.agg(F.sum("copies")).first()[0] or 0
     least = max(min_records, -(-total * min_share[0] // min_share[1]))
     counts = _counts_of(sets).where(F.col("n") >= least)
-    kept = _identified(sets.where(F.size("items") > 1))
+    kept = sets.where(F.size("items") > 1)
     if least > 1:
-        frequent = kept.select(*_ID, "copies", F.explode("items").alias("item")).join(counts.select("item"), "item", "left_semi")
-        kept = frequent.groupBy(*_ID, "copies").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        frequent = kept.select("id", "copies", F.explode("items").alias("item")).join(counts.select("item"), "item", "left_semi")
+        kept = frequent.groupBy("id", "copies").agg(F.array_sort(F.collect_list("item")).alias("items"))
     pairs = _pairs_of(kept, chunk).where(F.col("together") >= least)
     n = lambda side: counts.select(F.col("item").alias(f"item_{side}"), F.col("n").alias(f"n_{side}"))
     expected = F.col("n_a").cast("double") * F.col("n_b") / F.lit(float(max(total, 1)))
