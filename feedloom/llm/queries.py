@@ -27,6 +27,14 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(truncation.truncated(_descriptions(spark, sf_dir)), both[0].unionByName(both[1]))
 
 
+def p1_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Significant lengths of the delivered descriptions in characters and bytes, markers and trailers included."""
+    units = F.explode(F.create_map(F.lit("chars"), F.length("d").cast("bigint"), F.lit("bytes"), F.octet_length("d").cast("bigint"))).alias("unit", "length")
+    parts = [read_table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), F.coalesce("source", F.lit("")).alias("source"), F.col(c).alias("d")) for t, c in _DESCRIPTIONS]
+    found = truncation.length_hazards(parts[0].unionByName(parts[1]).where(F.length("d") > 0).select("table_name", "source", units))
+    return found.select("table_name", "source", "unit", "width", "bin", "ended", "at_risk", "near_ended", "near_at_risk", "hazard", "around")
+
+
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "issue_list"), "record_id", ["title", "problem_description"], "lang")
 
@@ -97,6 +105,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
+    "p1_hazards": p1_hazards,
     "p4_found": p4_found,
     "p4_languages": p4_languages,
     "p6_found": p6_found,
@@ -108,4 +117,25 @@ QUERIES = {
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
 }
-ORACLE: dict[str, str] = {}
+
+_LENGTHS = " union all ".join(
+    f"select '{t}' as table_name, coalesce(source, '') as source, '{unit}' as unit, {size} as length from {t} where length({c}) > 0" for t, c in _DESCRIPTIONS for unit, size in (("chars", f"length({c})"), ("bytes", f"strlen({c})"))
+)
+ORACLE: dict[str, str] = {
+    "p1_hazards": f"""
+with lengths as ({_LENGTHS}),
+bins as (select table_name, source, unit, width, length // width as bin, count(*) as ended from lengths, (values {", ".join(f"({w})" for w in truncation.WIDTHS)}) w(width) group by all),
+risk as (select *, sum(ended) over (partition by table_name, source, unit, width order by bin desc)::bigint as at_risk from bins),
+near as (
+  -- a text of bin t is at risk in every bin up to t, so the neighbours from a to b count it for each of theirs that it reaches
+  select x.table_name, x.source, x.unit, x.width, x.bin, x.ended, x.at_risk,
+    sum(case when y.bin between x.bin - 12 and x.bin - 2 or y.bin between x.bin + 2 and x.bin + 12 then y.ended else 0 end)::bigint as near_ended,
+    sum(y.ended * (greatest(0, least(x.bin - 2, y.bin) - greatest(x.bin - 12, 1 // x.width) + 1) + greatest(0, least(x.bin + 12, y.bin) - (x.bin + 2) + 1)))::bigint as near_at_risk
+  from risk x join bins y using (table_name, source, unit, width) group by all),
+h as (select *, ended / at_risk as hazard, least((near_ended + 0.5) / (near_at_risk + 1.0), 0.999) as around from near),
+p as (select *, case when hazard > around then -at_risk * (least(hazard, 1 - 1e-12) * ln(least(hazard, 1 - 1e-12) / around) + (1 - least(hazard, 1 - 1e-12)) * ln((1 - least(hazard, 1 - 1e-12)) / (1 - around))) else 0.0 end as log_p from h),
+k as (select *, row_number() over (partition by table_name, source order by log_p, unit, width, bin) as k, count(*) over (partition by table_name, source) as m from p),
+d as (select *, max(case when log_p <= ln(0.001 * k / m) then k end) over (partition by table_name, source) as passed from k)
+select table_name, source, unit, width::int as width, bin, ended, at_risk, near_ended, near_at_risk, hazard::double as hazard, around::double as around
+from d where k <= passed and hazard >= 4.0 * around and ended >= 4""",
+}

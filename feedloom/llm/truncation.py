@@ -3,15 +3,18 @@
 1. For every table and source the hazard of each length (texts that end there over texts that get there) is compared, in
    characters and in bytes and at several widths, with the hazards around it; the false-discovery rate
    is controlled within each source.
-2. The ending of each text without a closing mark is looked up in the corpus: after its last words, how
-   often does a sentence end, go on, or the last word itself go on?
-3. At a significant length an ending is a cut unless the corpus knows it as a finished one. A cut mid-transfer has no
-   length, so elsewhere only endings are cuts that the corpus practically never finishes.
+2. At a significant length an ending is a cut (``by`` limit) unless it is closed or the corpus knows it as a finished one.
+3. A cut in mid-transfer has no significant length. Elsewhere only endings are cuts (``by`` mid-transfer) that stop at half a
+   character or an open mark, or that the corpus practically never finishes.
+
+What the corpus says about an ending: after its last words, how often does a sentence end, go on, or the last word itself go on?
+All texts are counted for it, in passes over bounded blocks of the endings asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,38 +26,41 @@ from feedloom.llm.textarrays import classes, code_points, is_in, lowered, mixed,
 from feedloom.session import written
 
 #: What feeds put after a break, at the end of a text, and the line after which mail adds its own.
-MARKER = r"\s*(\[\s*(?:…|\.\.\.)\s*\]|…|\.\.\.)\s*$"
+MARKER = r"(\[\s*(?:…|\.\.\.)\s*\]|…|\.\.\.)$"
 TRAILER = r"\n--[ \t]*\n[^\n]*\s*$"
 #: A letter or mark as ``classes`` has them.
 LETTER = r"[[\p{L}\p{M}]&&[\x{0}-\x{FFFF}\x{20000}-\x{31FFF}]]"
 CLOSING = ".!?。！？…"
-#: Code points at the end of a text in which a trailer and a marker are looked for.
-_TRAILER_END, _MARKER_END = 200, 24
 CLOSERS = "\"')]}»”’」』）"
+WHITE = " \t\n\u000b\f\r"
 
 WIDTHS = (1, 4, 16)
 #: Rows whose arrays are made at once: small enough to stay in a core's cache.
 _ROWS = 500
 _NEIGHBOURS = 12
-_BLOOM_BITS = (1 << 22, 1 << 27)
+#: Bits of the filter of a block of endings, and bits for each of its hashes.
+_BLOCK_BITS, _BITS_EACH = 1 << 28, 16
 
 
 def prepared(df: DataFrame, table_name: str, record_id: str, text: str, source: str) -> DataFrame:
-    """(table_name, record_id, source, text, body, marker): the text without a mail trailer, and also without a marker. Null texts and texts of white space go."""
-    # patterns of an end need not run over the whole text
-    without = lambda c, pattern, end: F.expr(f"left({c}, length({c}) - length(regexp_extract(right({c}, {end}), r'{pattern}', 0)))")
+    """(table_name, record_id, source, text, body, marker): the text without a mail trailer, and also without a marker, each of any length. Null texts and texts of white space go."""
     rows = df.select(F.lit(table_name).alias("table_name"), F.col(record_id).alias("record_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
-    rows = rows.withColumn("text", F.when(F.contains("text", F.lit("\n--")), without("text", TRAILER, _TRAILER_END)).otherwise(F.col("text")))
-    rows = rows.withColumn("marker", F.regexp_extract(F.expr(f"right(text, {_MARKER_END})"), MARKER, 1))
-    body = F.when(F.col("marker") == "", F.col("text")).otherwise(without("text", MARKER, _MARKER_END))
-    return rows.withColumn("body", F.rtrim(body)).where(F.length("body") > 0)
+    # the patterns of an end run only where its signs are
+    less = F.expr(f"left(text, length(text) - length(regexp_extract(text, r'{TRAILER}', 0)))")
+    rows = rows.withColumn("text", F.when(F.contains("text", F.lit("\n--")), less).otherwise(F.col("text")))
+    stripped = F.rtrim(F.col("text"), F.lit(WHITE))
+    ends = stripped.endswith("…") | stripped.endswith("...") | stripped.endswith("]")
+    rows = rows.withColumn("marker", F.when(ends, F.regexp_extract(stripped, MARKER, 1)).otherwise(F.lit("")))
+    unmarked = F.rtrim(F.left(stripped, F.length(stripped) - F.length("marker")), F.lit(WHITE))
+    body = F.when(F.col("marker") == "", F.rtrim("text")).otherwise(unmarked)
+    return rows.withColumn("body", body).where(F.length("body") > 0)
 
 
 # --- hazards -----------------------------------------------------------------------------------------------------
 
 
 def length_hazards(lengths: DataFrame, false_discovery: float = 0.001, ratio: float = 4.0, least: int = 4) -> DataFrame:
-    """Significant lengths: (table_name, source, unit, width, bin, ended, at_risk, hazard, around, log_p).
+    """Significant lengths: (table_name, source, unit, width, bin, ended, at_risk, near_ended, near_at_risk, hazard, around, log_p).
 
     ``lengths`` has (table_name, source, unit, length). A length is significant if its Chernoff bound passes the
     Benjamini-Hochberg step within its table and source, its hazard is ``ratio`` times that of its neighbours and
@@ -74,7 +80,8 @@ def length_hazards(lengths: DataFrame, false_discovery: float = 0.001, ratio: fl
     near = [by.rangeBetween(-_NEIGHBOURS, -2), by.rangeBetween(2, _NEIGHBOURS)]
     both = lambda c: sum(F.coalesce(F.sum(c).over(w), F.lit(0)) for w in near)
     h = bins.withColumn("at_risk", at_risk)
-    h = h.withColumn("around", (both("ended") + 0.5) / (both("at_risk") + 1.0)).withColumn("hazard", F.col("ended") / F.col("at_risk"))
+    h = h.withColumns({"near_ended": both("ended").cast("bigint"), "near_at_risk": both("at_risk").cast("bigint")})
+    h = h.withColumn("around", (F.col("near_ended") + 0.5) / (F.col("near_at_risk") + 1.0)).withColumn("hazard", F.col("ended") / F.col("at_risk"))
     h = h.withColumn("around", F.least(F.col("around"), F.lit(0.999)))
     q, p = F.least(F.col("hazard"), F.lit(1 - 1e-12)), F.col("around")
     divergence = q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p))
@@ -213,30 +220,44 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def endings(texts: DataFrame, tail: int = 200) -> DataFrame:
-    """One row per text with its lengths and the hashes of its last words; a context needs no more than ``tail`` characters before the end. Whether there is a letter is asked of the whole text."""
+    """One row per text with its lengths and the hashes of its last words, of any length.
+
+    Four words within the last ``tail`` characters, each after white space, are all that the last three can depend on; where they
+    aren't there the task gets the whole text. Whether there is a letter is asked of the whole text.
+    """
+    last = F.right("body", F.lit(tail))
+    enough = F.regexp_count(last, F.lit(r"\s\S*[\p{L}\p{N}]")) >= 4
     part = texts.select(
         "table_name", "record_id", "source", F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"), F.length("body").cast("bigint").alias("body_chars"), "marker",
-        F.when(F.length("body") > tail, F.expr(f"right(body, {tail})")).otherwise(F.col("body")).alias("tail"), F.col("body").rlike(LETTER).alias("has_letter"),
+        F.when(enough, last).otherwise(F.col("body")).alias("tail"), F.col("body").rlike(LETTER).alias("has_letter"),
     )
     return part.mapInArrow(_endings, _ENDING)
 
 
 def _bloom(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash; ``bits`` bounds what the driver gets and the tasks receive. A wrong hit costs a shuffled row, no result."""
-    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
-    words = hashes.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    """Two bits for each hash; ``bits`` bounds what the driver gets and the tasks receive. A wrong hit costs a shuffled row, no result."""
+    bit = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 29)]))
+    words = hashes.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     got = words.toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
     return out
 
 
-def _counter(bloom: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    mask = np.uint64(len(bloom) * 64 - 1)
+def _is_held(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    mask, out = np.uint64(len(bloom) * 64 - 1), None
+    for s in (0, 29):
+        at = (h >> np.uint64(s)) & mask
+        hit = (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        out = hit if out is None else out & hit
+    return out
+
+
+def _counter(every: np.ndarray, mine: np.ndarray, block: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts the contexts of one block of hashes; ``every`` is the filter of all blocks, which only saves work, ``mine`` that of this one."""
 
     def wanted(h: np.ndarray) -> np.ndarray:
-        at = h & mask
-        return (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+        return _is_held(every, h)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -259,6 +280,10 @@ def _counter(bloom: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 hashes = [w.own[one], two[hit], three[hit3], begun2, begun3]
                 kinds = [kind[one], kind[one[hit]], kind[one[hit][hit3]], np.ones(len(begun2), np.int64), np.ones(len(begun3), np.int64)]
                 key, kind = np.concatenate(hashes), np.concatenate(kinds)
+                if blocks > 1:
+                    here = (key >> np.uint64(40)) % np.uint64(blocks) == block
+                    here[here] = _is_held(mine, key[here])
+                    key, kind = key[here], kind[here]
                 distinct, inverse = np.unique(key, return_inverse=True)
                 out = [np.bincount(inverse[kind == j], minlength=len(distinct)) for j in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in out]], names=["h", "ended", "went_on", "open"])
@@ -266,26 +291,36 @@ def _counter(bloom: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return count
 
 
-def context_counts(texts: DataFrame, looked_up: DataFrame) -> DataFrame:
-    """(h, ended, went_on, open) of the contexts in ``looked_up`` (column h) over all texts, whole.
+def context_counts(texts: DataFrame, looked_up: DataFrame, block_bits: int = _BLOCK_BITS) -> DataFrame:
+    """(h, ended, went_on, open) of the contexts in ``looked_up`` (column h, distinct, a written table) over all texts, whole.
 
-    A sentence ended after the words, went on (or the last word did), or the text stopped without a mark.
+    A sentence ended after the words, went on (or the last word did), or the text stopped without a mark. The contexts are counted in blocks
+    whose filter has ``block_bits`` at most, so wrong hits stay a small part of the shuffle however many contexts are asked
+    for; each block is a pass over the texts. The driver holds the filter of one block and that of all, which is no larger.
     """
     n = looked_up.count()
-    bits = _BLOOM_BITS[0]
-    while bits < min(16 * n, _BLOOM_BITS[1]):
-        bits *= 2
-    return texts.select("body").mapInArrow(_counter(_bloom(looked_up, bits)), "h bigint, ended bigint, went_on bigint, open bigint").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("ended", "went_on", "open")])
-
-
-def judged(texts: DataFrame) -> DataFrame:
-    """``endings`` with ``finished`` (0 to 1: how often such an ending finishes; null if the corpus doesn't know it) and ``seen`` (how often it occurs elsewhere)."""
-    tails = written(endings(texts), "endings")
-    open_ended = tails.where(~F.col("closed") | (F.col("marker") != ""))
-    kinds = ("single", "pair", "triple", "begun_pair", "begun_triple")
-    asked = open_ended.select("table_name", "record_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("h")) for k in kinds])).alias("c")).select("table_name", "record_id", "c.kind", "c.h")
-    counts = context_counts(texts, asked.select("h").distinct())
-    found = asked.join(counts, "h").groupBy("table_name", "record_id").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in kinds for c in ("ended", "went_on", "open")])
+    bits = lambda m: min(block_bits, 1 << max(16, (_BITS_EACH * m - 1).bit_length()))
+    blocks = max(1, -(-_BITS_EACH * n // block_bits))
+    every, schema, parts = _bloom(looked_up, bits(n)), "h bigint, ended bigint, went_on bigint, open bigint", []
+    for b in range(blocks):
+        mine = every if blocks == 1 else _bloom(looked_up.where(F.pmod(F.shiftrightunsigned("h", 40), F.lit(blocks)) == b), block_bits)
+        counted = texts.select("body").mapInArrow(_counter(every, mine, b, blocks), schema)
+        parts.append(written(counted.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("ended", "went_on", "open")]), "contexts"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_KINDS = ("single", "pair", "triple", "begun_pair", "begun_triple")
+
+
+def judged(rows: DataFrame, texts: DataFrame, block_bits: int = _BLOCK_BITS) -> DataFrame:
+    """``endings`` rows with ``finished`` (0 to 1: how often such an ending finishes; null if the corpus doesn't know it or needn't be asked) and ``seen`` (how often it occurs elsewhere).
+
+    Only endings that stop after a word, neither closed nor at an open mark, depend on the corpus.
+    """
+    contexts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("h")) for k in _KINDS])).alias("c")
+    asked = rows.where(~F.col("closed") & ~F.col("dangling")).select("table_name", "record_id", contexts).select("table_name", "record_id", "c.kind", "c.h")
+    counts = context_counts(texts, written(asked.select("h").distinct(), "asked"), block_bits)
+    found = asked.join(counts, "h").groupBy("table_name", "record_id").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in _KINDS for c in ("ended", "went_on", "open")])
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
 
     def finished(k: str) -> tuple[Column, Column]:
@@ -300,7 +335,7 @@ def judged(texts: DataFrame) -> DataFrame:
         s, n = finished(k)
         least = 5 if k == "single" else 3
         share, seen = F.when(n >= least, s).otherwise(share), F.when(n >= least, n).otherwise(seen)
-    return tails.join(found.select("table_name", "record_id", share.alias("finished"), seen.alias("seen")), ["table_name", "record_id"], "left")
+    return rows.join(found.select("table_name", "record_id", share.alias("finished"), seen.alias("seen")), ["table_name", "record_id"], "left")
 
 
 # --- cuts --------------------------------------------------------------------------------------------------------
@@ -320,27 +355,31 @@ def limits_of(rows: DataFrame, **how) -> DataFrame:
     return length_hazards(lengths, **how)
 
 
-def truncated(texts: DataFrame, broken_below: float = 0.02, least_seen: int = 4, finished_from: float = 0.95) -> DataFrame:
-    """Every non-empty text of ``prepared`` rows with ``cut`` (boolean) and the evidence for it.
+def truncated(texts: DataFrame, broken_below: float = 0.02, least_seen: int = 4, finished_from: float = 0.95, block_bits: int = _BLOCK_BITS) -> DataFrame:
+    """Every non-empty text of ``prepared`` rows with ``cut`` (boolean), ``by`` (limit or mid-transfer, else null) and the evidence for it.
 
-    Columns: table_name, record_id, source, chars, bytes, body_chars, marker, closed, dangling, finished, seen, at_limit, broken, cut.
+    Columns: table_name, record_id, source, chars, bytes, body_chars, marker, closed, dangling, finished, seen, at_limit, broken, cut, by.
     ``record_id`` must be a bigint, unique within its table; repeated texts are judged each. ``at_limit`` is the width of the significant length that
     the text has, ``broken`` an ending that the corpus never finishes. Null and empty texts have no row; an empty
     table gives none.
     """
-    rows = written(judged(texts), "judged")
-    rows = _in_limits(rows, limits_of(rows))
+    rows = written(endings(texts), "endings")
+    rows = judged(_in_limits(rows, limits_of(rows)), texts, block_bits)
     known = F.coalesce(F.col("finished"), F.lit(0.5))
-    broken = ~F.col("closed") & (F.col("dangling") | F.coalesce((F.col("finished") <= broken_below) & (F.col("seen") >= least_seen), F.lit(False)))
     at, exact, band = F.col("at_limit").isNotNull(), F.coalesce(F.col("at_limit") == 1, F.lit(False)), F.coalesce(F.col("at_limit") > 1, F.lit(False))
     unfinished = ~F.col("closed") & (known < finished_from)
     marked = F.col("marker") != ""
-    cut = F.col("broken") | (exact & unfinished) | (at & marked & (unfinished | F.col("marker").startswith("["))) | (band & ~F.col("closed") & (known < 0.1))
-    return rows.withColumn("broken", broken).withColumn("cut", cut).select("table_name", "record_id", "source", "chars", "bytes", "body_chars", "marker", "closed", "dangling", "finished", "seen", "at_limit", "broken", "cut")
+    at_length = (exact & unfinished) | (at & marked & (unfinished | F.col("marker").startswith("["))) | (band & ~F.col("closed") & (known < 0.1))
+    broken = ~F.col("closed") & (F.col("dangling") | F.coalesce((F.col("finished") <= broken_below) & (F.col("seen") >= least_seen), F.lit(False)))
+    by = F.when(at_length | (at & broken), "limit").when(broken, "mid-transfer")
+    columns = ["table_name", "record_id", "source", "chars", "bytes", "body_chars", "marker", "closed", "dangling", "finished", "seen", "at_limit", "broken", "cut", "by"]
+    return rows.withColumns({"broken": broken, "by": by, "cut": at_length | broken}).select(*columns)
 
 
 def rates(judged_rows: DataFrame, all_rows: DataFrame) -> DataFrame:
-    """(table_name, source, records, cut, share) over all records of ``all_rows`` (table_name, source), those without a text included."""
-    cuts = judged_rows.where("cut").groupBy("table_name", "source").agg(F.count(F.lit(1)).alias("cut"))
-    n = all_rows.groupBy("table_name", F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("records"))
-    return n.join(cuts, ["table_name", "source"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)).cast("bigint")).withColumn("share", F.col("cut") / F.col("records"))
+    """(table_name, source, records, cut, at_limit, mid_transfer, share) over all records of ``all_rows`` (table_name, source), those without a text included."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    cuts = judged_rows.where("cut").groupBy("table_name", "source").agg(F.count(F.lit(1)).alias("cut"), n(F.col("by") == "limit", "at_limit"), n(F.col("by") == "mid-transfer", "mid_transfer"))
+    every = all_rows.groupBy("table_name", F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("records"))
+    z = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("cut", "at_limit", "mid_transfer")}
+    return every.join(cuts, ["table_name", "source"], "left").withColumns(z).withColumn("share", F.col("cut") / F.col("records"))

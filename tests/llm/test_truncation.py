@@ -22,6 +22,10 @@ def corpus(seed=4, n=1500):
         elif source == "bytes" and len(t) > 200:
             t = t[:190].rsplit(" ", 1)[0] + " [...]"
             cases.add(i)
+        elif i % 30 == 5:  # cut in mid-transfer, within a word
+            at = next(a for a in iter(lambda: rnd.randrange(30, len(t)), None) if t[a - 2 : a + 1].isalpha())
+            t = t[:at]
+            cases.add(i)
         elif i % 10 == 2:
             t = t[:-1]  # finished without a mark
         rows.append((i, source, t, None, None))
@@ -30,9 +34,9 @@ def corpus(seed=4, n=1500):
     return rows, cases
 
 
-def found(spark, rows):
+def found(spark, rows, **how):
     df = spark.createDataFrame(rows, SCHEMA)
-    return T.truncated(T.prepared(df, "t", "record_id", "text", "source"))
+    return T.truncated(T.prepared(df, "t", "record_id", "text", "source"), **how)
 
 
 def test_planted_cuts(spark):
@@ -42,6 +46,43 @@ def test_planted_cuts(spark):
     assert len(got & cases) >= 0.95 * len(cases) and len(got - cases) <= 0.03 * len(cases)
     assert out.where("record_id >= 1500").count() == 4  # null and empty texts have no row
     assert not got & set(range(1500, 1507))
+    by = {r.record_id: r.by for r in out.where("cut").collect()}
+    assert all(by[i] == ("mid-transfer" if i % 3 == 2 else "limit") for i in got & cases if i % 3 == 2 or i % 3 == 1)
+
+
+def test_blocks_of_contexts_change_nothing(spark, monkeypatch):
+    rows, _ = corpus(n=400)
+    whole = {r.record_id: (r.finished, r.seen, r.cut, r.by) for r in found(spark, rows).collect()}
+    shuffled = []
+    written = T.written
+    monkeypatch.setattr(T, "written", lambda df, name: shuffled.append(name) or written(df, name))
+    parts = {r.record_id: (r.finished, r.seen, r.cut, r.by) for r in found(spark, rows, block_bits=1 << 12).collect()}
+    assert parts == whole and shuffled.count("contexts") > 1
+    assert {by for *_, cut, by in whole.values() if cut} == {"limit", "mid-transfer"} and all((by is not None) == cut for *_, cut, by in whole.values())
+
+
+def test_a_full_filter_shuffles_no_more_than_its_block(spark):
+    rows, _ = corpus(n=300)
+    texts = T.prepared(spark.createDataFrame(rows, SCHEMA), "t", "record_id", "text", "source")
+    asked = T.written(T.endings(texts).select(F.explode(F.array(*T._KINDS)).alias("h")).distinct(), "asked")
+    held = {r.h for r in asked.collect()}
+    got = T.context_counts(texts, asked, block_bits=1 << 10)
+    counted = [r.h for r in got.collect()]
+    # every context that the corpus has is counted once, and few that nobody asked for
+    assert len(counted) == len(set(counted)) and {r.h for r in T.context_counts(texts, asked).collect()} & held == set(counted) & held
+    assert len(set(counted) - held) <= 0.1 * len(counted) + 20
+
+
+def test_endings_of_any_length(spark):
+    word = "x" * 250
+    rows = [(1, "a", "The fan stops\n--\n" + "m" * 300, "", 1), (2, "a", "The fan stops at " + word, "", 1), (3, "a", "The belt " + word, "", 1), (4, "a", "The fan stops at " + word + "y", "", 1), (5, "a", "The fan st" + " " * 60 + "[ ... ]" + "\n" * 40, "", 1)]
+    texts = T.prepared(spark.createDataFrame(rows, SCHEMA), "t", "record_id", "text", "source")
+    got = {r.record_id: (r.body, r.marker) for r in texts.collect()}
+    assert got[1] == ("The fan stops", "") and got[5] == ("The fan st", "[ ... ]")
+    e = {r.record_id: r for r in T.endings(texts).collect()}
+    assert e[2].single == e[3].single != e[4].single and e[2].pair != e[3].pair
+    whole = {r.record_id: r for r in T.endings(texts, tail=10_000).collect()}
+    assert e == whole
 
 
 def test_limits(spark):
@@ -78,6 +119,7 @@ def test_rates_and_empty_tables(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     every = df.select(F.lit("t").alias("table_name"), "source")
     rates = {r.source: r for r in T.rates(found(spark, rows), every).collect()}
+    assert all(r.cut == r.at_limit + r.mid_transfer for r in rates.values())
     assert rates["cut"].records == 101 and 0 < rates["cut"].share < 1 and rates[""].cut == 0
     assert found(spark, []).count() == 0
 
