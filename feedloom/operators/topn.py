@@ -16,12 +16,10 @@ import heapq
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,22 +27,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from feedloom.session import new_path, written
-
-
-def _open(path: str):
-    url = urlparse(path)
-    if url.scheme in ("", "file"):
-        return pafs.LocalFileSystem().open_input_file(unquote(url.path))
-    fs, where = pafs.FileSystem.from_uri(path)
-    return fs.open_input_file(where)
+from feedloom.session import new_path, open_shared, written
 
 
 def _footer_reader(keys: list[str], score: str, n: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
-                with _open(path) as source:
+                with open_shared(path) as source:
                     meta = pq.ParquetFile(source).metadata
                 at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                 rows = []
@@ -86,7 +76,7 @@ def _reader(keys: list[str], score: str, n: int, tally: bool) -> Callable[[Itera
                 opened = 0
                 only_of = [None if any(x[k] is None for k in keys) else tuple(x[k] for k in keys) for x in file["todo"]]
                 best: dict[tuple, list[float]] = {g: [] for g in only_of if g is not None}
-                with _open(file["path"]) as source:
+                with open_shared(file["path"]) as source:
                     parquet = pq.ParquetFile(source)
                     for x, only in zip(file["todo"], only_of, strict=True):
                         if only is not None and len(best[only]) == n and -x["minus_top"] < best[only][0]:

@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,6 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def open_shared(path: str):
+    """A file of the shared folder, opened for reading within a task."""
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        return pafs.LocalFileSystem().open_input_file(unquote(url.path))
+    fs, where = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(where)
+
+
 #: Paths made for each open ``scratch``, innermost last.
 _scopes: list[list[str]] = []
 
