@@ -69,6 +69,11 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.without_leaks(documents.select("doc_id", "source"), _leaks(spark, sf_dir))
 
 
+def p6_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and the documents that hold 15 words or more of their passage unchanged."""
+    return _leaks(spark, sf_dir).where(F.col("longest_verbatim") >= 15).select("item_id", "doc_id")
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
@@ -83,6 +88,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p7_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of a mixture as large as all documents of listed sources, where the caps on repeats bind."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), total_tokens="corpus")[1]
+
+
+def p7_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets, whole epochs and rests of every listed source by the delivered sizes in characters."""
+    sizes = read_table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("available"))
+    b = mixing.budgets(sizes, read_table(spark, sf_dir, "mix_targets"))
+    return b.select("source", "share", F.col("max_repeats").cast("int").alias("max_repeats"), "available", "target", "budget", "epochs", "rest")
+
+
 def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "review_labels"))
 
@@ -111,8 +128,11 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_items": p6_items,
     "p6_clean": p6_clean,
+    "p6_verbatim": p6_verbatim,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_full": p7_full,
+    "p7_budgets": p7_budgets,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
@@ -121,7 +141,29 @@ QUERIES = {
 _LENGTHS = " union all ".join(
     f"select '{t}' as table_name, coalesce(source, '') as source, '{unit}' as unit, {size} as length from {t} where length({c}) > 0" for t, c in _DESCRIPTIONS for unit, size in (("chars", f"length({c})"), ("bytes", f"strlen({c})"))
 )
+_LONE = r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}\x{20000}-\x{31FFF}]"
+_INVISIBLE = r"[\p{Cf}\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F]"
+
+
+def _grams(table: str, key: str, text: str) -> str:
+    """(key, g): every 15 words in a row of a text."""
+    plain = f"replace(lower(regexp_replace({text}, '{contamination.MARKUP.replace(chr(39), chr(39) * 2)}', ' ', 'g')), 'ß', 'ss')"
+    spaced = f"regexp_replace(regexp_replace({plain}, '{_INVISIBLE}', '', 'g'), '({_LONE})', ' \\1 ', 'g')"
+    listed = f"select {key}, regexp_extract_all({spaced}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+') as w from {table} where {text} <> ''"
+    return f"select distinct {key}, array_to_string(w[i : i + 14], ' ') as g from (select {key}, w, unnest(range(1, len(w) - 13)) as i from ({listed}) where len(w) >= 15)"
+
+
+_TARGETS = "select source, sum(greatest(coalesce(weight, 0), 0)) as w, max(greatest(coalesce(max_repeats, 0), 0)) as max_repeats from mix_targets where source is not null group by source"
 ORACLE: dict[str, str] = {
+    "p6_verbatim": f"select distinct item_id, doc_id from ({_grams('eval_items', 'item_id', 'passage')}) join ({_grams('documents', 'doc_id', 'text')}) using (g)",
+    "p7_budgets": f"""
+with t as ({_TARGETS}), s as (select source, sum(n_chars)::bigint as available from documents group by source),
+l as (select t.source, w / (select sum(w) from t) as share, max_repeats, coalesce(available, 0) as available from t left join s using (source)),
+c as (select *, available * max_repeats as cap from l),
+b as (select *, floor(share * (select floor(min(cap / share)) from c where share > 0 and cap > 0) + 1e-6)::bigint as target from c),
+d as (select *, least(target, cap) as budget from b)
+select source, share, max_repeats, available, target, budget, case when available > 0 then budget // available else 0 end as epochs,
+  budget - case when available > 0 then budget // available else 0 end * available as rest from d""",
     "p1_hazards": f"""
 with lengths as ({_LENGTHS}),
 bins as (select table_name, source, unit, width, length // width as bin, count(*) as ended from lengths, (values {", ".join(f"({w})" for w in truncation.WIDTHS)}) w(width) group by all),

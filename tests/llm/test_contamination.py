@@ -85,6 +85,58 @@ def test_planted_leaks(spark):
     assert {r.item_id for r in X.leaked_items(got).collect()} == {i for i, _ in want}
 
 
+def test_one_array_a_shard_for_all_blocks(spark, tmp_path, monkeypatch):
+    rnd = random.Random(8)
+    items = [(i, " ".join(words(rnd, 40)), None) for i in range(60)]
+    docs = [(d, " ".join(words(rnd, 30)) + " " + items[d % 60][1], None) for d in range(120)]
+    df = spark.createDataFrame(docs, DOCS).coalesce(1)
+    blocks = []
+    searcher = X._searcher
+    monkeypatch.setattr(X, "_searcher", lambda b, *a: blocks.append(len(b)) or searcher(b, *a))
+    got = X.leaks(df, spark.createDataFrame(items, ITEMS), block_chars=5000)
+    assert {(r.item_id, r.doc_id) for r in got.collect()} == {(d % 60, d) for d in range(120)}
+    # one search over the documents, whatever the number of blocks, and only paths in its plan
+    assert len(blocks) == 1 and blocks[0] >= 3
+
+
+def test_many_items_with_one_passage(spark):
+    rnd = random.Random(9)
+    passage = " ".join(words(rnd, 40))
+    got = X.leaks(spark.createDataFrame([(7, "x " + passage, None)], DOCS), spark.createDataFrame([(i, passage, None) for i in range(500)], ITEMS))
+    assert {r.item_id for r in got.collect()} == set(range(500))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_no_stretch_is_ruled_out(seed):
+    rnd = random.Random(seed)
+    n = rnd.randint(15, 60)
+    passage = list(range(n))
+    quote, edits = passage[:], n // 10
+    for at in sorted(rnd.sample(range(1, n - 1), edits), reverse=True):
+        kind = rnd.randrange(3)
+        quote[at : at + 1] = [[-7], [], [-8, passage[at]]][kind]
+    text = np.array([-5] * rnd.randint(0, 30) + quote + [-6] * rnd.randint(0, 30))
+    runs = []
+    for q in range(n):
+        for c in np.flatnonzero(text == q):
+            k = 0
+            while q + k < n and c + k < len(text) and text[c + k] == q + k:
+                k += 1
+            if k >= 6 and (q == 0 or c == 0 or text[c - 1] != q - 1):
+                runs.append((q, int(c), k))
+    p = np.array(passage)
+    reached = [X.best_stretch(p, text, q, c, k, 10) for q, c, k in runs if k >= 15 or X.may_reach(p, text, q, k)]
+    every = [X.best_stretch(p, text, q, c, k, 10) for q, c, k in runs]
+    assert max((w for w, _ in reached), default=0) >= 15 or max((w for w, _ in every), default=0) < 15
+
+
+def test_markup(spark):
+    texts = ["a <b>word</b> and <a href=\"x y\" id=k>link</a><br/>&nbsp;end", "a <b and words> stay", "x < y > z", "<" + "q " * 5000 + ">"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.plain("t").alias("t")).collect()]
+    assert got[0].split() == ["a", "word", "and", "link", "end"] and got[1] == "a <b and words> stay" and got[2] == "x < y > z" and got[3].split()[1] == "q"
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b", "")], DOCS), spark.createDataFrame([(1, "a " * 30, "")], ITEMS)
     assert X.leaks(docs.limit(0), items).count() == 0

@@ -81,6 +81,25 @@ def test_useless_weights_come_last(spark):
     assert {r.doc_id for r in chosen.collect()} <= set(range(20)) and report.first().tokens == 96  # 6 tokens a document
 
 
+def test_keys_are_distinct_and_follow_the_weights(spark):
+    weight = F.when(F.col("id") % 2 == 0, 0.01).otherwise(0.03)
+    keyed = spark.range(200_000).select("id", M.sampling_key(weight, 11, F.col("id")).alias("key"), M.sampling_key(F.lit(0.01), 11, F.col("id")).alias("same"))
+    n = keyed.agg(F.count_distinct("key").alias("a"), F.count_distinct("same").alias("b")).first()
+    assert n.a == n.b == 200_000
+    # of the first tenth without replacement three in four or so have the threefold weight
+    first = keyed.orderBy("key").limit(20_000).agg(F.avg(F.col("id") % 2)).first()[0]
+    assert 0.72 < first < 0.76
+    last = spark.createDataFrame([(1, 1e-12), (2, 0.0), (3, None), (4, -1.0), (5, float("nan"))], "id int, w double").select("id", M.sampling_key(F.col("w"), 11, F.col("id")).alias("key")).orderBy("key").first()
+    assert last.id == 1
+
+
+def test_a_total_of_the_whole_corpus(spark):
+    _, report = run(spark, docs(4), WANTED, total_tokens="corpus")
+    listed = [r for r in report.values() if r.available]
+    assert sum(r.target for r in report.values()) <= sum(r.available for r in listed) and any(r.budget < r.target for r in listed)
+    assert all(r.tokens <= r.available * dict((s, m) for s, _, m in WANTED)[r.source] for r in listed)
+
+
 def test_empty(spark):
     assert run(spark, [], WANTED)[0] == []
     chosen, report = run(spark, docs(n=20), [])
