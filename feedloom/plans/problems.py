@@ -13,7 +13,7 @@ from feedloom.session import read_table
 
 TERM_FIELDS = ["error_codes", "themes", "versions_mentioned"]
 #: Bytes of a row group of p5: most categories' themes are small, so only small row groups hold one of them alone.
-_ROW_GROUP = 16 << 10
+_ROW_GROUP = 4 << 10
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
