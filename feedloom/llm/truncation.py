@@ -35,6 +35,7 @@ CLOSERS = "\"')]}»”’」』）"
 WHITE = " \t\n\u000b\f\r"
 
 WIDTHS = (1, 4, 16)
+_UNITS = ("chars", "bytes", "body_chars")
 #: Rows whose arrays are made at once: small enough to stay in a core's cache.
 _ROWS = 500
 _NEIGHBOURS = 12
@@ -342,16 +343,20 @@ def judged(rows: DataFrame, texts: DataFrame, block_bits: int = _BLOCK_BITS) ->
 
 
 def _in_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """Rows with ``at_limit`` (the width of the narrowest significant length they have, else null)."""
-    keys = [F.struct(F.lit(u).alias("unit"), F.lit(w).alias("width"), F.floor(F.col(u) / w).alias("bin")) for u in ("chars", "bytes", "body_chars") for w in WIDTHS]
-    hit = rows.select("table_name", "record_id", "source", F.explode(F.array(*keys)).alias("x")).select("table_name", "record_id", "source", "x.*")
-    hit = hit.join(limits.select("table_name", "source", "unit", "width", "bin"), ["table_name", "source", "unit", "width", "bin"]).groupBy("table_name", "record_id").agg(F.min("width").alias("at_limit"))
-    return rows.join(hit, ["table_name", "record_id"], "left")
+    """Rows with ``at_limit`` (the width of the narrowest significant length they have, else null).
+
+    The lengths of the significant bins are few, so the rows needn't be shuffled to meet them.
+    """
+    lengths = limits.select("table_name", "source", "unit", "width", F.explode(F.sequence(F.col("bin") * F.col("width"), (F.col("bin") + 1) * F.col("width") - 1)).alias("length"))
+    narrowest = lengths.groupBy("table_name", "source", "unit", "length").agg(F.min("width").alias("w"))
+    for u in _UNITS:
+        rows = rows.join(narrowest.where(F.col("unit") == u).select("table_name", "source", F.col("length").alias(u), F.col("w").alias(f"_{u}")), ["table_name", "source", u], "left")
+    return rows.withColumn("at_limit", F.least(*[F.col(f"_{u}") for u in _UNITS])).drop(*[f"_{u}" for u in _UNITS])
 
 
 def limits_of(rows: DataFrame, **how) -> DataFrame:
     """Significant lengths of ``endings`` rows, in characters and bytes of the text and characters without its marker."""
-    lengths = rows.select("table_name", "source", F.explode(F.create_map(*[x for u in ("chars", "bytes", "body_chars") for x in (F.lit(u), F.col(u))])).alias("unit", "length"))
+    lengths = rows.select("table_name", "source", F.explode(F.create_map(*[x for u in _UNITS for x in (F.lit(u), F.col(u))])).alias("unit", "length"))
     return length_hazards(lengths, **how)
 
 
@@ -364,7 +369,7 @@ def truncated(texts: DataFrame, broken_below: float = 0.02, least_seen: int = 4,
     table gives none.
     """
     rows = written(endings(texts), "endings")
-    rows = judged(_in_limits(rows, limits_of(rows)), texts, block_bits)
+    rows = judged(_in_limits(rows, written(limits_of(rows), "limits")), texts, block_bits)
     known = F.coalesce(F.col("finished"), F.lit(0.5))
     at, exact, band = F.col("at_limit").isNotNull(), F.coalesce(F.col("at_limit") == 1, F.lit(False)), F.coalesce(F.col("at_limit") > 1, F.lit(False))
     unfinished = ~F.col("closed") & (known < finished_from)
