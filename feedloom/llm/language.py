@@ -81,12 +81,20 @@ def gram_presences(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 
 @dataclass
 class KernelModel:
-    """languages; row of each n-gram in ``weights`` (-1: of no landmark); weights by n-gram and language; sharpness of the confidence."""
+    """languages; row of each n-gram in ``weights`` (-1: of no landmark); weights by n-gram and language.
+
+    ``sharpness`` scales the margin that makes a sentence foreign; ``temperature`` turns scores into probabilities that hold for unseen sentences.
+    """
 
     languages: tuple[str, ...]
     row: np.ndarray
     weights: np.ndarray
     sharpness: float = 1.0
+    temperature: float = 1.0
+
+    @property
+    def fitted(self) -> bool:
+        return bool((self.row >= 0).any())
 
     def score(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(regression outputs by segment and language, letters by segment)."""
@@ -178,15 +186,29 @@ def fit(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUA
         target = np.where(y[train][:, None] == np.arange(len(languages)), 1.0, -1.0)
         weight = (1 / np.sqrt(np.maximum(np.bincount(y[train], minlength=len(languages)), 1)))[y[train]]
         weight *= len(train) / weight.sum()
-        beta = np.linalg.solve(phi.T @ (phi * weight[:, None]) + stiffness * np.eye(phi.shape[1]), phi.T @ (target * weight[:, None]))
+        gram_matrix = phi.T @ (phi * weight[:, None]) + stiffness * np.eye(phi.shape[1])
+        beta = np.linalg.solve(gram_matrix, phi.T @ (target * weight[:, None]))
         model = KernelModel(tuple(languages), row, (z.T @ (root @ beta)).astype(np.float32))
         scores, _ = model.score(points, starts)
         guess = scores.argmax(1)
         margin = np.sort(scores[train], axis=1)
         model.sharpness = float(np.clip(4.0 / max(1e-3, np.median(margin[:, -1] - margin[:, -2])), 1, 20)) if margin.shape[1] > 1 else 1.0
+    # sentences of the regression without their own part in it, the others as they are
+    leverage = np.minimum((phi @ np.linalg.inv(gram_matrix) * phi).sum(1) * weight, 0.99)[:, None]
+    unseen = scores.astype(np.float64)
+    unseen[train] = (phi @ beta - leverage * target) / (1 - leverage)
+    model.temperature = best_temperature(unseen[order], y[order])
     return model
 
 
+def best_temperature(scores: np.ndarray, y: np.ndarray) -> float:
+    """The scale of ``scores``, each by a regression without its sentence, whose softmax has the least log loss for the labels ``y``, of which an unknown share is wrong."""
+    scales, wrong = np.geomspace(0.25, 64, 40), (0.001, 0.01, 0.02, 0.05, 0.1)
+    p = [_softmax(scores, s)[np.arange(len(y)), y] for s in scales]
+    loss = [[-np.log(np.maximum((1 - w) * x + w / scores.shape[1], 1e-12)).mean() for w in wrong] for x in p]
+    return float(scales[int(np.argmin(np.min(loss, axis=1)))])
+
+
 def _softmax(scores: np.ndarray, sharpness: float) -> np.ndarray:
     e = np.exp(sharpness * (scores - scores.max(1, keepdims=True)))
     return e / e.sum(1, keepdims=True)
@@ -199,7 +221,8 @@ def classify_batch(model: KernelModel, text: pa.Array, sure: float = 0.8, least_
     """``RESULT`` by column for a batch of texts.
 
     The main language is that of most sentences, then of the higher summed score; a sentence of another language is a
-    passage if it has enough letters and its own language outweighs the main one with probability ``sure``.
+    passage if it has enough letters and its own language outweighs the main one by a margin that ``sure`` states in odds. Confidence is
+    the probability of the language, of a record the mean over its sentences.
     """
     points, offsets = code_points(text)
     n = len(text)
@@ -210,7 +233,7 @@ def classify_batch(model: KernelModel, text: pa.Array, sure: float = 0.8, least_
     lengths = np.diff(np.append(starts, len(points)))
     wordless = np.add.reduceat((classes(points) & 8 > 0).astype(np.int64), starts) * 2 > letters if len(starts) else np.zeros(0, bool)
     enough = letters >= np.where(wordless, least_wordless, least_letters)
-    has = np.bincount(rows[letters > 0], minlength=n) > 0
+    has = (np.bincount(rows[letters > 0], minlength=n) > 0) & model.fitted
     # short sentences only count where a record has no longer one
     long_there = np.bincount(rows[enough], minlength=n) > 0
     counts_for = (letters > 0) & (enough | ~long_there[rows])
@@ -218,10 +241,11 @@ def classify_batch(model: KernelModel, text: pa.Array, sure: float = 0.8, least_
     np.add.at(votes, (rows[counts_for], best[counts_for]), 1)
     total = np.stack([np.bincount(rows[counts_for], scores[counts_for, j], minlength=n) for j in range(k)], 1) if k else votes
     main = (votes + 1e-3 * np.tanh(total / np.maximum(votes.sum(1, keepdims=True), 1))).argmax(1)
-    p = _softmax(scores, model.sharpness)
-    own = p[np.arange(len(starts)), best]
-    against = own / np.maximum(own + p[np.arange(len(starts)), main[rows]], 1e-12)
-    foreign = enough & (best != main[rows]) & (against >= sure)
+    here = np.arange(len(starts))
+    margin = model.sharpness * (scores[here, best] - scores[here, main[rows]])
+    foreign = model.fitted & enough & (best != main[rows]) & (margin >= np.log(sure / (1 - sure)))
+    p = _softmax(scores, model.temperature)
+    own = p[here, best]
     confidence = np.bincount(rows[counts_for], p[counts_for, main[rows[counts_for]]], minlength=n) / np.maximum(np.bincount(rows[counts_for], minlength=n), 1)
     other: list[str] = [""] * n
     other_confidence: list[float | None] = [None] * n
@@ -270,8 +294,8 @@ def identify(df: DataFrame, record_id: str, text_columns: list[str], lang: str,
 
     ``label`` is the language of the delivered label (see ``label_language``). Texts are read whole, title and all; null texts
     count as empty. A row without letters has null main_lang and confidence; without a foreign sentence other_lang is ``''``.
-    Passages give start and length in the text columns joined by newlines. Without labelled rows every record falls
-    to the first language with even confidence. Rows that repeat, ids or texts, are classified each; other
+    Passages give start and length in the text columns joined by newlines. Without labelled rows main_lang and
+    confidence are null. Rows that repeat, ids or texts, are classified each; other
     columns are ignored. The model goes to the tasks; its size is bounded by the number of landmarks.
     """
     model = model or fit_on(df, record_id, text_columns, lang, languages)

@@ -102,3 +102,23 @@ def test_sentences():
 def test_label_language(spark):
     df = spark.createDataFrame([("EN-us",), ("pt_BR",), (" de ",), ("und",), ("",), (None,), ("UND-x",)], "l string")
     assert [r.x for r in df.select(L.label_language("l").alias("x")).collect()] == ["en", "pt", "de", None, None, None, None]
+
+
+def test_without_labels_nothing_is_said(spark):
+    df = spark.createDataFrame([(1, "Der Drucker druckt nicht.", "Hello there.", None), (2, None, None, "xx")], "record_id bigint, title string, problem_description string, lang string")
+    got = L.identify(df, "record_id", ["title", "problem_description"], "lang")
+    assert all(r.main_lang is None and r.confidence is None and r.other_lang == "" and r.passages == [] for r in got.collect())
+    assert L.wrong_or_mixed(got).count() == 0
+
+
+def test_confidence_holds_for_unseen_sentences():
+    rnd = random.Random(11)
+    # short sentences of words that languages share, so that some can't be told
+    some = lambda x: " ".join(rnd.choice(WORDS[x] if rnd.random() < 0.6 else ["printer", "firmware", "log", "test", "plan"]) for _ in range(4)).capitalize() + "."
+    names = [x for x in WORDS if x not in ("zh", "ja")][:4]
+    labels = [x for x in names for _ in range(300)]
+    model = L.fit([some(x) for x in labels], labels)
+    unseen = [x for x in names for _ in range(300)]
+    found = L.classify_batch(model, pa.array([some(x) for x in unseen]))
+    right = np.mean([a == b for a, b in zip(found["main_lang"], unseen, strict=True)])
+    assert abs(np.mean(found["confidence"]) - right) < 0.08
