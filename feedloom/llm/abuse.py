@@ -101,7 +101,7 @@ def features(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(points)
     if not word.any():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    seg = np.searchsorted(starts, np.arange(n), side="right") - 1
+    seg = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
     lone = (classes(points) & 8) > 0
     first, last = word.copy(), word.copy()
     edge = lone[1:] | lone[:-1] | (seg[1:] != seg[:-1])
@@ -386,9 +386,12 @@ def fit_on(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     if not n_flagged or not n_clean:
         return _nothing(levels)
     taken, total = labelled.where(_part(sample / (n_flagged + n_clean))), documents.count()
-    vocabulary = _Vocabulary(_distinct_features(taken.where("grade > 0")))
+    hashes = _distinct_features(taken.where("grade > 0"))
+    flagged, clean = (_document_counts(labelled.where(c), _Vocabulary(hashes), True) for c in ("grade > 0", "grade = 0"))
+    # what more than twice as many clean documents hold as flagged ones isn't bound to abuse and needn't be counted elsewhere
+    kept = clean.sum(0) <= 2 * flagged.sum(0)
+    vocabulary, flagged, clean = _Vocabulary(hashes[kept]), flagged[:, kept], clean[:, kept]
     every = _document_counts(texts, vocabulary, False)[0]
-    flagged, clean = (_document_counts(labelled.where(c), vocabulary, True) for c in ("grade > 0", "grade = 0"))
     folds = labelled.groupBy("_fold").agg(F.count_if(F.col("grade") > 0).alias("f"), F.count_if(F.col("grade") == 0).alias("c")).collect()
     out = np.zeros((_FOLDS + 1, 2), np.int64)
     for r in folds:
