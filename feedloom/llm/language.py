@@ -268,11 +268,12 @@ def _joined(text_columns: list[str]) -> Column:
     return F.concat(*[F.concat(F.coalesce(F.col(c), F.lit("")), F.lit("\n")) for c in text_columns])
 
 
-def fit_on(df: DataFrame, record_id: str, text_columns: list[str], lang: str, languages: tuple[str, ...] = LANGUAGES, sample: int = 12_000, **how) -> KernelModel:
-    """Fits on ``sample`` labelled rows at most: those of smallest hashed id, a sample that doesn't depend on the partitions."""
+def fit_on(df: DataFrame, record_id: str, text_columns: list[str], lang: str, languages: tuple[str, ...] = LANGUAGES, sample: int = 12_000, sample_chars: int = 16_000_000, **how) -> KernelModel:
+    """Fits on ``sample`` labelled rows at most, of about ``sample_chars`` characters together: those of smallest hashed id, a sample that doesn't depend on the partitions."""
     labelled = df.where(label_language(lang).isin(*languages)).select(F.xxhash64(F.col(record_id)).alias("h"), _joined(text_columns).alias("t"), label_language(lang).alias("l"))
     # ids hash evenly, so the smallest lie below this bound; without it each task would send as many rows to the driver
-    part = min(1.0, (1.1 * sample + 1000) / max(1, labelled.count()))
+    size = labelled.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    part = min(1.0, (1.1 * sample + 1000) / max(1, size.n), sample_chars / max(1, size.chars))
     rows = labelled.where(F.col("h") <= min(2**63 - 1, int(part * 2**64) - 2**63)).orderBy("h", "t").limit(sample).select("t", "l").collect()
     return fit([r.t for r in rows], [r.l for r in rows], languages, **how)
 

@@ -122,3 +122,11 @@ def test_confidence_holds_for_unseen_sentences():
     found = L.classify_batch(model, pa.array([some(x) for x in unseen]))
     right = np.mean([a == b for a, b in zip(found["main_lang"], unseen, strict=True)])
     assert abs(np.mean(found["confidence"]) - right) < 0.08
+
+
+def test_the_sample_is_bounded_in_characters(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "the printer " * 50, None, "en") for i in range(400)], "record_id bigint, title string, problem_description string, lang string")
+    got = []
+    monkeypatch.setattr(L, "fit", lambda texts, *a, **how: got.append(sum(map(len, texts))))
+    L.fit_on(df, "record_id", ["title", "problem_description"], "lang", sample_chars=60_000)
+    assert 20_000 < got[0] < 110_000
