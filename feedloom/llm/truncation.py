@@ -246,12 +246,16 @@ def _bloom(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _is_held(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    mask, out = np.uint64(len(bloom) * 64 - 1), None
-    for s in (0, 29):
-        at = (h >> np.uint64(s)) & mask
-        hit = (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-        out = hit if out is None else out & hit
-    return out
+    mask = np.uint64(len(bloom) * 64 - 1)
+
+    def probe(h: np.ndarray, shift: int) -> np.ndarray:
+        at = (h >> np.uint64(shift)) & mask
+        return (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+    held = probe(h, 0)
+    hit = np.flatnonzero(held)
+    held[hit] = probe(h[hit], 29)
+    return held
 
 
 def _counter(every: np.ndarray, mine: np.ndarray, block: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
