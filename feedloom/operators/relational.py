@@ -20,12 +20,14 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
-def left_lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: Column, name: str) -> DataFrame:
+def left_lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: Column, name: str, once: bool = False) -> DataFrame:
     """``df`` with the column ``name``: ``table``'s value for the key, else ``default``.
 
-    ``table`` should have a key once; of several the smallest value is taken, so no row of ``df`` doubles. Null keys miss.
+    Of several values of a key the smallest is taken, so no row of ``df`` doubles; ``once`` states that ``table`` has each key once and
+    spares that. Null keys miss.
     """
-    side = table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(value).alias("_value"))
+    side = table.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    side = side if once else side.groupBy("_key").agg(F.min("_value").alias("_value"))
     return df.join(side, df[key] == side["_key"], "left").withColumn(name, F.coalesce(F.col("_value"), default)).drop("_key", "_value")
 
 

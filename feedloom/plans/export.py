@@ -13,6 +13,11 @@ from feedloom.session import written
 from feedloom.sinks import files
 
 
+def _one_each(summary: DataFrame) -> DataFrame:
+    """(topic_id, summary) with a topic once, its smallest summary."""
+    return written(summary.where(F.col("topic_id").isNotNull()).groupBy("topic_id").agg(F.min("summary").alias("summary")), "summaries")
+
+
 def export(raw: DataFrame, category: DataFrame, official: DataFrame, summary: DataFrame, folder: str, generated: str, source: str, rules: R.TopicRules | None = None, base_url: str = topics.BASE_URL, vendor: str | None = None) -> list[tuple[str, int]]:
     """Writes everything under ``folder`` (on the driver), prints the statistics and gives (name, bytes) of what is there.
 
@@ -23,7 +28,7 @@ def export(raw: DataFrame, category: DataFrame, official: DataFrame, summary: Da
     data, reports = Path(folder, "data"), Path(folder, "reports")
     data.mkdir(parents=True, exist_ok=True)
     reports.mkdir(parents=True, exist_ok=True)
-    all_topics = written(topics.topics(raw, category, official, rules, base_url), "topics")
+    all_topics, summary = written(topics.topics(raw, category, official, rules, base_url), "topics"), _one_each(summary)
     issue_rows, feature_rows = written(topics.issues(all_topics, summary), "issues"), topics.features(all_topics, summary)
     feed = written(topics.unified(all_topics, summary, issue_rows, vendor), "feed")
     by_place, by_support = [F.col("ord").asc()], [F.col("total_support").desc(), F.col("ord").asc()]
@@ -47,7 +52,7 @@ def export(raw: DataFrame, category: DataFrame, official: DataFrame, summary: Da
 
 def export_lines(raw: DataFrame, category: DataFrame, official: DataFrame, summary: DataFrame, path: str, rules: R.TopicRules | None = None, base_url: str = topics.BASE_URL, vendor: str | None = None) -> None:
     """The four tables and the full index as folders of JSON Lines under ``path``, written by the tasks."""
-    all_topics = written(topics.topics(raw, category, official, rules, base_url), "topics")
+    all_topics, summary = written(topics.topics(raw, category, official, rules, base_url), "topics"), _one_each(summary)
     issue_rows = written(topics.issues(all_topics, summary), "issues")
     outputs = {
         "all_topics": all_topics, "issue_list": issue_rows, "feature_requests": topics.features(all_topics, summary),

@@ -36,7 +36,7 @@ def _features(s: SparkSession, d: str) -> DataFrame:
 
 
 def _unified(s: SparkSession, d: str) -> DataFrame:
-    t, summary = written(_topics(s, d), "topics"), _summaries(s, d)
+    t, summary = written(_topics(s, d), "topics"), written(_summaries(s, d), "summaries")
     return topics.unified(t, summary, topics.issues(t, summary))
 
 
@@ -74,7 +74,7 @@ def membership_flag(s: SparkSession, d: str) -> DataFrame:
 
 def fallback_text(s: SparkSession, d: str) -> DataFrame:
     """Topics with their summary, else their title: the text's first 2000 characters and its whole length."""
-    t = rel.left_lookup(_first(s, d, "title"), _summaries(s, d), "topic_id", "summary", F.coalesce("title", F.lit("")), "summary")
+    t = rel.left_lookup(_first(s, d, "title"), _summaries(s, d), "topic_id", "summary", F.coalesce("title", F.lit("")), "summary", once=True)
     return t.select("topic_id", C.cut("summary", 2000).alias("text"), F.length("summary").cast("bigint").alias("text_length"))
 
 
@@ -211,7 +211,7 @@ def unified_table(s: SparkSession, d: str) -> DataFrame:
 
 def _written(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Topics, issues, feature requests, each written once, and summaries."""
-    t, summary = written(_topics(s, d), "topics"), _summaries(s, d)
+    t, summary = written(_topics(s, d), "topics"), written(_summaries(s, d), "summaries")
     return t, written(topics.issues(t, summary), "issues"), written(topics.features(t, summary), "features"), summary
 
 

@@ -57,8 +57,8 @@ def summaries(texts: DataFrame, topic_id: str = "topic_id", text: str = "problem
 
 
 def issues(all_topics: DataFrame, summary: DataFrame) -> DataFrame:
-    """The 21 issue columns, and ``ord``: problems and questions with codes, versions, score and description."""
-    t = left_lookup(all_topics.where(F.col("topic_type").isin(*R.ISSUE_TYPES)), summary, "topic_id", "summary", F.lit(""), "summary")
+    """The 21 issue columns, and ``ord``: problems and questions with codes, versions, score and description. ``summary`` has a topic once."""
+    t = left_lookup(all_topics.where(F.col("topic_type").isin(*R.ISSUE_TYPES)), summary, "topic_id", "summary", F.lit(""), "summary", once=True)
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("summary"))
     return t.select(
         "ord", "topic_id", "title", "url", F.col("category_name").alias("category"), "topic_type", "topic_type_label", "themes", "created_at",
@@ -74,8 +74,8 @@ def issue_order() -> list[Column]:
 
 
 def features(all_topics: DataFrame, summary: DataFrame) -> DataFrame:
-    """The 13 feature request columns, and ``ord``."""
-    t = left_lookup(all_topics.where(F.col("topic_type") == "feature_request"), summary, "topic_id", "summary", F.lit(""), "summary")
+    """The 13 feature request columns, and ``ord``. ``summary`` has a topic once."""
+    t = left_lookup(all_topics.where(F.col("topic_type") == "feature_request"), summary, "topic_id", "summary", F.lit(""), "summary", once=True)
     return t.select(
         "ord", "topic_id", "title", "url", "themes", "created_at", "views", "reply_count", "like_count", F.lit(0).cast("bigint").alias("support_signals"),
         F.col("like_count").alias("total_support"), C.cut("summary", 500).alias("description"), "has_official_response", "resolution_status",
@@ -97,8 +97,8 @@ def theme_rollup(issue_rows: DataFrame, empty: str = "uncategorized") -> DataFra
 
 
 def unified(all_topics: DataFrame, summary: DataFrame, issue_rows: DataFrame, vendor: str | None = None) -> DataFrame:
-    """The 22 feedback columns, and ``ord``: text or title, language, sentiment, feedback type, percentile score and the issue's codes."""
-    t = left_lookup(all_topics, summary, "topic_id", "summary", F.coalesce(F.col("title"), F.lit("")), "summary")
+    """The 22 feedback columns, and ``ord``: text or title, language, sentiment, feedback type, percentile score and the issue's codes. ``summary`` has a topic once."""
+    t = left_lookup(all_topics, summary, "topic_id", "summary", F.coalesce(F.col("title"), F.lit("")), "summary", once=True)
     codes = issue_rows.select(F.col("topic_id").alias("_id"), F.col("error_codes").alias("_codes"))
     t = t.join(codes, t["topic_id"] == codes["_id"], "left")
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("summary"))
