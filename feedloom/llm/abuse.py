@@ -340,20 +340,21 @@ def bin_severity(at: int, levels: int) -> float:
     return float((levels - 1) * np.exp((at / _BINS - 1) * 32)) if at else 0.0
 
 
-def best_cutoff(documents: np.ndarray, flagged: np.ndarray) -> int:
-    """The bin of the best balance of cases found and right hits, from the numbers of documents and of documents that raters flagged by ``severity_bin``.
+def best_cutoff(documents: np.ndarray, flagged: np.ndarray, clean: np.ndarray) -> int:
+    """The bin of the best balance of cases found and right hits, from the numbers of documents and of documents that raters flagged and found clean by ``severity_bin``.
 
     Severities must come from models that haven't seen the document. Raters saw more flagged documents than there are elsewhere, so
     ``documents`` tell how many a cutoff flags and ``flagged`` only which part of the cases it finds. The share of all documents that are cases is
-    that of the hits over that of the cases found, at the cutoff that finds three tenths of them, where hits are mostly right. Any bin but the
-    first, which holds the documents without any sign, may be the cutoff.
+    that of the hits over that of the cases found, at the cutoff that finds three tenths of them, where hits are mostly right. Of the hits that
+    raters saw they must have flagged as many as they found clean, else the labels are too few to tell; where no cutoff has that it lies above all. Any
+    bin but the first, which holds the documents without any sign, may be the cutoff.
     """
     hit = np.cumsum(documents[::-1])[::-1] / max(1, documents.sum())
     recall = np.cumsum(flagged[::-1])[::-1] / max(1, flagged.sum())
     sure = max(1, int(np.flatnonzero(recall >= min(0.3, recall[1]))[-1]))
     prevalence = max(hit[sure], 1 / max(1, documents.sum())) / max(recall[sure], 1 / max(1, flagged.sum()))
-    balance = recall[1:] / (hit[1:] + prevalence)
-    return int(np.flatnonzero(balance * 1.0001 >= balance.max())[-1] + 1)
+    balance = np.where(np.cumsum((flagged - clean)[::-1])[::-1][1:] >= 0, recall[1:], 0) / (hit[1:] + prevalence)
+    return int(np.flatnonzero(balance * 1.0001 >= balance.max())[-1] + 1) if balance.max() > 0 else _BINS
 
 
 def graded(labels: DataFrame, doc_id: str = "doc_id", verdict: str = "verdict", flagged: str = "flagged", clean: str = "clean") -> DataFrame:
@@ -502,11 +503,11 @@ def corpus_cutoff(scored: DataFrame, labels: DataFrame, levels: int) -> float:
     """
     log = F.log(F.greatest(F.col("unseen"), F.lit(1e-14)) / F.lit(float(levels - 1)))
     at = F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), F.floor((log / 32 + 1) * _BINS))).alias("bin")
-    by = scored.join(graded(labels), "doc_id", "left").groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("grade") > 0).alias("f"))
-    documents, flagged = np.zeros(_BINS, np.int64), np.zeros(_BINS, np.int64)
+    by = scored.join(graded(labels), "doc_id", "left").groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("grade") > 0).alias("f"), F.count_if(F.col("grade") == 0).alias("c"))
+    documents, flagged, clean = np.zeros((3, _BINS), np.int64)
     for r in by.collect():
-        documents[r.bin], flagged[r.bin] = r.n, r.f
-    return bin_severity(best_cutoff(documents, flagged), levels)
+        documents[r.bin], flagged[r.bin], clean[r.bin] = r.n, r.f, r.c
+    return bin_severity(best_cutoff(documents, flagged, clean), levels)
 
 
 def rates(scored: DataFrame) -> DataFrame:

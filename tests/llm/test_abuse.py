@@ -129,7 +129,9 @@ def test_any_severity_may_be_the_cutoff():
     for low in (1e-6, 0.01, 0.9):
         severity = np.append(np.full(900, low / 4), np.full(100, low * 1.1))
         documents, flagged = (np.bincount(A.severity_bin(x, 3), minlength=A._BINS) for x in (severity, severity[900:]))
-        assert low / 4 < A.bin_severity(A.best_cutoff(documents, flagged), 3) <= low * 1.1
+        assert low / 4 < A.bin_severity(A.best_cutoff(documents, flagged, documents * 0), 3) <= low * 1.1
+    # labels that tell nothing: raters found more of any hits clean
+    assert A.best_cutoff(documents, flagged, 2 * documents) == A._BINS and A.bin_severity(A._BINS, 3) == 2
 
 
 def test_grades(spark):
